@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import bpe, decontaminate
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 ORACLES = {
