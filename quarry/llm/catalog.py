@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, pfor
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op9_token_files": pfor.op9_token_files,
     "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 ORACLES = {
