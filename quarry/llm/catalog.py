@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, pfor
+from . import bpe, decontaminate, pfor, warc
 
 QUERIES = {
+    "op10_warc": warc.op10_warc,
     "op2_bpe": bpe.op2_bpe,
     "op9_token_files": pfor.op9_token_files,
     "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 ORACLES = {
+    "op10_warc": warc.ORACLE_SQL,
     "op6_decontaminate": decontaminate.ORACLE_SQL,
 }

@@ -162,7 +162,7 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
                 if writer is None:
                     fs, at = open_fs(uri)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
-                    writer = Writer(fs.open_output_stream(at), percentile)
+                    writer = Writer(fs.open_output_stream(at, compression=None), percentile)
                 ids = [x + end for x in c.encode(batch.column(1).to_pylist())]
                 writer.add(np.frombuffer(b"".join(ids), "<u4"), [len(x) // 4 for x in ids])
                 ids_seen.append(batch.column(0))
