@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, pfor, warc
+from . import bpe, decontaminate, minhash, pfor, warc
 
 QUERIES = {
+    "op7_near_dedup": minhash.op7_near_dedup,
     "op10_warc": warc.op10_warc,
     "op2_bpe": bpe.op2_bpe,
     "op9_token_files": pfor.op9_token_files,
