@@ -3,15 +3,17 @@
 A word is first cut greedily into the longest vocabulary pieces. BPE's own result is the only
 sequence of reachable tokens in which no adjacent pair would have merged across its border, so the
 guess is right when every adjacent pair is compatible. All pairs of a batch are tested at once in
-numpy. Words with an incompatible pair are merged exactly, by rank. Results are kept per worker in
-a bounded memo of words, so the work follows the vocabulary rather than the text.
+numpy. Words with an incompatible pair are merged exactly, by rank. Texts are split into
+words, and words are looked up in the worker's bounded memo, with array operations, so the exact
+work follows the vocabulary rather than the text.
 
 A pair (a, b) is incompatible when some piece p on the right edge of a and some piece q on the left
 edge of b would merge at a rank r at which both exist: p and q were made before r, p is not used up
 before or at r, and q is not used up before r (of equal ranks the leftmost merges first).
 
 Supported: tokenizer files with a BPE model over byte-level symbols and word ends, whose
-normaliser and splitter are those of ``word_bpe_49k.json``; others are refused.
+normaliser and
+splitter are those of ``word_bpe_49k.json``; others are refused.
 
 Edge cases: null and empty texts have no ids; the special strings are cut out of raw texts first;
 texts of any length are handled whole.
@@ -22,23 +24,32 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from . import kernels as K
 from .shared import table
 
-#: Words kept by a worker's memo; when it is full it is emptied. About 250 bytes each.
-MEMO_WORDS = 600_000
+#: Words that a worker's memo holds before it starts again; about 150 bytes each.
+MEMO_WORDS = 1_000_000
 _NEVER = 1 << 40
 
 #: The splitter of the tokenizer file, with its white space written as the Unicode property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_SPLIT = regex.compile(SPLIT.replace(r"\s", r"\p{White_Space}"))
 #: Outside these ranges Unicode versions may disagree on letters and cases; the tokenizers library then splits the text.
-_RARE = regex.compile("[^\u0000-\u052f\u2000-\u2060\u20a0-\u20bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
+_RARE = regex.compile("[^\u0000-\u052f\u2000-\u2060\u20a0-\u20bf\u3000-\u30ff]")
+_BLANK, _LETTER, _DIGIT, _MARK = 0, 1, 2, 3
+_KIND = np.full(0x3100, _MARK, np.uint8)
+for _c in range(len(_KIND)):
+    if unicodedata.category(chr(_c))[0] in "LN":
+        _KIND[_c] = _LETTER if unicodedata.category(chr(_c))[0] == "L" else _DIGIT
+    elif regex.match(r"\p{White_Space}", chr(_c)):
+        _KIND[_c] = _BLANK
+_CODES = [K.mix(np.arange(1, len(_KIND) + 1, dtype=np.uint64) * np.uint64(m)) for m in (0xD1342543DE82EF95, 0xA24BAED4963EE407)]
 
 
 def byte_symbols() -> list[str]:
@@ -74,22 +85,46 @@ class Codec:
             self.rank.setdefault((x, y), (r, z))
             if self.left[z] < 0:
                 self.left[z], self.right[z], self.made[z] = x, y, r
-        keys = np.array([x * n + y for x, y in self.rank], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys = keys[order]
-        self.pair_ranks = np.array([r for r, _ in self.rank.values()], np.int64)[order]
+        self._hash([x * n + y for x, y in self.rank], [r for r, _ in self.rank.values()])
+        self.merged = np.zeros(len(merges), np.int64)
+        for r, z in self.rank.values():
+            self.merged[r] = z
         valid = self._reachable()
         self.pieces = {t: i for t, i in self.vocab.items() if valid[i]}
         self.longest = max(map(len, self.pieces))
-        self.memo: dict[str, bytes] = {}
-        self.fine = np.zeros(0, np.int64)  # pairs known to be compatible, sorted
+        self._forget()
 
     # -- verification -------------------------------------------------------------------------
 
+    def _hash(self, keys: list[int], ranks: list[int]) -> None:
+        """An open-addressing table of merges, for lookups of whole arrays."""
+        bits = max(8, (16 * len(keys)).bit_length())
+        self.shift, size = np.uint64(64 - bits), 1 << bits
+        self.slot_key, self.slot_rank = np.full(size + 64, -1, np.int64), np.full(size + 64, _NEVER)
+        self.probes = 1
+        home = ((np.array(keys, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64).tolist()
+        for k, r, at in zip(keys, ranks, home, strict=True):
+            to = at
+            while self.slot_key[to] >= 0:
+                to += 1
+            self.slot_key[to], self.slot_rank[to] = k, r
+            self.probes = max(self.probes, to - at + 1)
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.n + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NEVER)
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        hit = self.slot_key[at]
+        out = np.where(hit == key, self.slot_rank[at], _NEVER)
+        on = np.flatnonzero((hit != key) & (hit >= 0))
+        for _ in range(1, self.probes):
+            if not len(on):
+                break
+            at.flat[on] += 1
+            hit = self.slot_key[at.flat[on]]
+            same = hit == key.flat[on]
+            out.flat[on[same]] = self.slot_rank[at.flat[on[same]]]
+            on = on[~same & (hit >= 0)]
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | int = _NEVER) -> np.ndarray:
         """For each pair of tokens: does no merge across the border take place (at a rank under ``before``)?"""
@@ -138,58 +173,80 @@ class Codec:
             at = to
         return out
 
-    def merge(self, symbols: str) -> list[int]:
-        """Exact merging by rank, leftmost first."""
-        ids = [self.vocab[s] for s in symbols[:-1]] + [self.vocab[symbols[-1] + self.suffix]]
-        while len(ids) > 1:
-            best = min((self.rank.get(p, (_NEVER, 0)) for p in zip(ids, ids[1:], strict=False)), default=(_NEVER, 0))
-            if best[0] == _NEVER:
+    def merge(self, words: list[str]) -> list[np.ndarray]:
+        """Exact merging of many words at once: in each round every word does its lowest rank, leftmost first."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        lo = 0
+        while lo < len(order):  # words of about the same length share an array
+            top, hi = max(8, 2 * len(words[order[lo]])), lo
+            while hi < len(order) and len(words[order[hi]]) <= top and (hi == lo or (hi - lo) * top < 1 << 18):
+                hi += 1
+            own = order[lo:hi]
+            width = len(words[own[-1]])
+            ids = np.full((len(own), width), -1)
+            for k, i in enumerate(own):
+                w = words[i]
+                ids[k, : len(w)] = [self.vocab[s] for s in w[:-1]] + [self.vocab[w[-1] + self.suffix]]
+            for k, x in enumerate(self._merge_rows(ids)):
+                out[own[k]] = x
+            lo = hi
+        return out
+
+    def _merge_rows(self, ids: np.ndarray) -> list[np.ndarray]:
+        done: list[np.ndarray] = [ids[0]] * len(ids)
+        rows = np.arange(len(ids))
+        while len(rows):
+            if ids.shape[1] > 1:
+                ranks = np.where(ids[:, 1:] >= 0, self._ranks(np.maximum(ids[:, :-1], 0), np.maximum(ids[:, 1:], 0)), _NEVER)
+                best = ranks.min(axis=1)
+            else:
+                best = np.full(len(ids), _NEVER)
+            for k in np.flatnonzero(best == _NEVER).tolist():
+                done[rows[k]] = ids[k][ids[k] >= 0]
+            go = best != _NEVER
+            if not go.any():
                 break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.rank.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def learn(self, new: list[str]) -> None:
-        """Encodes words into the memo."""
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
+            rows, ids, ranks, best = rows[go], ids[go], ranks[go], best[go]
+            hit = ranks == best[:, None]
+            # in a run of overlapping hits every other one counts, from the left
+            place = np.arange(hit.shape[1])
+            last = np.maximum.accumulate(np.where(hit, -1, place), axis=1)
+            hit &= (place - last) % 2 == 1
+            r, c = np.nonzero(hit)
+            ids[r, c] = self.merged[best[r]]
+            ids[r, c + 1] = -1
+            keep = ids >= 0
+            size = keep.sum(axis=1)
+            packed = np.full((len(ids), int(size.max())), -1)
+            packed[np.arange(packed.shape[1]) < size[:, None]] = ids[keep]
+            ids = packed
+        return done
+
+    def encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each word)."""
         symbols = [w.encode().decode("latin-1").translate(self.symbols) for w in new]
-        guess = [self._guess(s) for s in symbols]
-        sizes = np.fromiter((len(g) if g else 0 for g in guess), np.int64, len(guess))
-        flat = np.fromiter((t for g in guess if g for t in g), np.int64, int(sizes.sum()))
+        guess = [self._guess(s) or [] for s in symbols]
+        sizes = np.fromiter(map(len, guess), np.int64, len(guess))
+        flat = np.fromiter(chain.from_iterable(guess), np.int64, int(sizes.sum()))
         word = np.repeat(np.arange(len(new)), sizes)
         same = np.flatnonzero(word[1:] == word[:-1])
-        key = flat[same] * self.n + flat[same + 1]
-        pairs, inverse = np.unique(key, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.fine, pairs), max(0, len(self.fine) - 1))
-        known = self.fine[at] == pairs if len(self.fine) else np.zeros(len(pairs), bool)
-        ok = known.copy()
-        ok[~known] = self.compatible(pairs[~known] // self.n, pairs[~known] % self.n)
-        if len(self.fine) < 2_000_000 and (ok & ~known).any():
-            self.fine = np.sort(np.concatenate([self.fine, pairs[ok & ~known]]))
-        wrong = set(word[same[~ok[inverse]]].tolist())
-        data, ends = flat.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
-        start = 0
-        for i, (w, end) in enumerate(zip(new, ends, strict=True)):
-            self.memo[w] = np.array(self.merge(symbols[i]), "<u4").tobytes() if i in wrong or guess[i] is None else data[start:end]
-            start = end
+        pairs, inverse = np.unique(flat[same] * self.n + flat[same + 1], return_inverse=True)
+        ok = self.compatible(pairs // self.n, pairs % self.n)
+        wrong = np.union1d(word[same[~ok[inverse]]], np.flatnonzero(sizes == 0))
+        if not len(wrong):
+            return flat, sizes
+        exact = self.merge([symbols[i] for i in wrong.tolist()])
+        begin = np.cumsum(sizes) - sizes
+        parts, at = [], 0
+        for i, x in zip(wrong.tolist(), exact, strict=True):
+            parts += [flat[at : begin[i]], x]
+            at = begin[i] + sizes[i]
+            sizes[i] = len(x)
+        return np.concatenate([*parts, flat[at:]]), sizes
 
     # -- texts --------------------------------------------------------------------------------
 
-    def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            if _RARE.search(text):
-                return self._library_words(text)
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at what follows a sigma
-        return _SPLIT.findall(text.lower())
-
     def _library_words(self, text: str) -> list[str]:
         if self.library is None:
             from tokenizers import Regex, Tokenizer, pre_tokenizers
@@ -198,31 +255,132 @@ class Codec:
         normalizer, splitter = self.library
         return [w for w, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text))]
 
-    def _split(self, text: str) -> list[list[str] | int]:
-        if self.special_re is None or "<|" not in text:
-            return [self.words(text)]
+    def _one(self, text: str) -> np.ndarray:
+        """Ids of a text with special strings or characters that the vectorised splitter does not know."""
         out, at = [], 0
-        for m in self.special_re.finditer(text):
-            out += [self.words(text[at : m.start()]), self.special[m[0]]]
-            at = m.end()
-        return [*out, self.words(text[at:])]
-
-    def encode(self, texts: list[str | None], group: int = 64) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for lo in range(0, len(texts), group):
-            split = [self._split(t) if t else [] for t in texts[lo : lo + group]]
-            used = set().union(*(x for parts in split for x in parts if not isinstance(x, int)))
-            new = used - self.memo.keys()
-            if new:
-                before = len(self.memo)
-                self.learn(list(new))
-                if len(self.memo) < before + len(new):  # it was emptied
-                    self.learn(list(used - self.memo.keys()))
-            get = self.memo.__getitem__
-            for parts in split:
-                out.append(b"".join([np.array([x], "<u4").tobytes() if isinstance(x, int) else b"".join(map(get, x)) for x in parts]))
-        return out
+        for m in [*self.special_re.finditer(text), None] if self.special_re else [None]:
+            words = self._library_words(text[at : m.start() if m else len(text)])
+            if words:
+                out.append(self.encode_words(words)[0])
+            if m:
+                out.append(np.array([self.special[m[0]]]))
+                at = m.end()
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def _fast(self, text: str) -> str | None:
+        """The normalised text, or None where only the slow way is sure."""
+        if not text.isascii():
+            if _RARE.search(text):
+                return None
+            text = unicodedata.normalize("NFC", text)
+        if "<|" in text and self.special_re and self.special_re.search(text):
+            return None
+        text = text.replace("\u03a3", "\u03c3").lower()  # lower() would look at what follows a capital sigma
+        return None if not text.isascii() and _RARE.search(text) else text
+
+    def encode(self, texts: list[str | None], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each)."""
+        ids: list[np.ndarray] = []
+        counts = np.zeros(len(texts), np.int64)
+        group: list[str] = []
+        where: list[int] = []
+        size = 0
+
+        def flush():
+            nonlocal size
+            if group:
+                flat, own = self._group(group)
+                counts[where] = own
+                ids.append(flat)
+            group.clear()
+            where.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            fast = self._fast(text)
+            if fast is None:
+                flush()
+                x = self._one(text)
+                counts[i] = len(x)
+                ids.append(x)
+                continue
+            group.append(fast)
+            where.append(i)
+            size += len(fast)
+            if size >= limit:
+                flush()
+        flush()
+        return (np.concatenate(ids) if ids else np.zeros(0, np.int64)).astype("<u4"), counts
+
+    def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = "\n".join(texts) + "\n"
+        code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = _KIND[code]
+        start = np.empty(len(code), bool)
+        start[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start |= kind == _DIGIT
+        mark = np.flatnonzero((code == 39) & start)
+        if len(mark):  # contractions: an apostrophe that begins a run of marks, and s, t, m, d, re, ve or ll
+            a, b = code[np.minimum(mark + 1, len(code) - 1)], code[np.minimum(mark + 2, len(code) - 1)]
+            two = np.isin(a, (115, 116, 109, 100))
+            three = ((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108))
+            for own, n in ((mark[two], 2), (mark[three], 3)):
+                start[own + 1] = False
+                start[own + n] = True
+        begin = np.flatnonzero(start)
+        end = np.append(begin[1:], len(code))
+        own = kind[begin] != _BLANK
+        begin, end = begin[own], end[own]
+        pw, ip = K.powers(len(code))
+        word_hash = []
+        for table in _CODES:
+            sums = np.zeros(len(code) + 1, np.uint64)
+            np.cumsum(table[code] * pw[: len(code)], out=sums[1:])
+            word_hash.append(K.mix((sums[end] - sums[begin]) * ip[begin]))
+        h1, h2 = word_hash
+        keys, first, inverse = np.unique(h1, return_index=True, return_inverse=True)
+        slots = self._slots(keys, h2[first], begin[first], end[first], joined)
+        word = slots[inverse]
+        if (self.check[word] != h2).any():
+            raise RuntimeError("two words share a 64-bit hash")
+        n = self.count[word]
+        at = np.cumsum(n)
+        flat = self.store[np.repeat(self.begin[word] - (at - n), n) + np.arange(at[-1] if len(at) else 0)]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cut = np.concatenate(([0], np.searchsorted(begin, ends)))
+        return flat, np.diff(np.concatenate(([0], at))[cut])
+
+    def _slots(self, keys, check, begin, end, joined) -> np.ndarray:
+        """The memo's slots of words; unknown words are encoded. A full memo starts again."""
+        if len(self.memo) + len(keys) > MEMO_WORDS:
+            self._forget()
+        get = self.memo.get
+        listed = keys.tolist()
+        slots = np.fromiter((get(k, -1) for k in listed), np.int64, len(listed))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            flat, sizes = self.encode_words([joined[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            base, used = len(self.memo), self.used
+            slots[new] = np.arange(base, base + len(new))
+            self.memo.update(zip(keys[new].tolist(), range(base, base + len(new)), strict=True))
+            while used + len(flat) > len(self.store):
+                self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+            while base + len(new) > len(self.begin):
+                self.begin, self.count, self.check = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.check))
+            self.store[used : used + len(flat)] = flat
+            own = slice(base, base + len(new))
+            self.begin[own], self.count[own], self.check[own] = used + np.cumsum(sizes) - sizes, sizes, check[new]
+            self.used = used + len(flat)
+        return slots
+
+    def _forget(self) -> None:
+        self.memo: dict[int, int] = {}  # hash of a word: slot
+        self.used = 0
+        self.store = np.zeros(1 << 16, np.uint32)
+        self.begin, self.count, self.check = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.uint64)
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by a space, as the file has no decoder."""
@@ -247,8 +405,6 @@ def default_path() -> str:
 
 def chunks(batch: pa.RecordBatch, at: int, limit: int = 4 << 20):
     """Parts of a batch with at most ``limit`` bytes in column ``at``, or of one row."""
-    from . import kernels as K
-
     _, off = K.column_bytes(batch.column(at))
     for lo, hi in K.slices(off, limit):
         yield batch.slice(lo, hi - lo)
@@ -265,9 +421,8 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
         c = codec(path)
         for whole in batches:
             for batch in chunks(whole, at):
-                ids = c.encode(batch.column(at).to_pylist())
-                lens = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                arr = pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+                ids, n = c.encode(batch.column(at).to_pylist())
+                arr = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, arr], names=[*batch.schema.names, ids_col])
 
     return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, (ids_col, "array<int>")]))
@@ -298,10 +453,12 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         c = codec(path)
         for whole in batches:
             for batch in chunks(whole, 1):
-                ids = c.encode(batch.column(1).to_pylist())
+                flat, n = c.encode(batch.column(1).to_pylist())
+                raw, cut = flat.tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
+                ids = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        batch.column(0), pa.array(n, pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                         pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]),
                     ],

@@ -154,7 +154,7 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     ordered = docs.select(F.col(id_col).alias("id"), text.alias("text")).repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches):
-        c, writer, ids_seen, end = codec(path), None, [], np.array([end_id], "<u4").tobytes()
+        c, writer, ids_seen = codec(path), None, []
         part = TaskContext.get().partitionId()
         uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.qpf"
         for whole in batches:
@@ -163,8 +163,8 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
                     fs, at = open_fs(uri)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     writer = Writer(fs.open_output_stream(at, compression=None), percentile)
-                ids = [x + end for x in c.encode(batch.column(1).to_pylist())]
-                writer.add(np.frombuffer(b"".join(ids), "<u4"), [len(x) // 4 for x in ids])
+                flat, n = c.encode(batch.column(1).to_pylist())
+                writer.add(np.insert(flat, np.cumsum(n), end_id), (n + 1).tolist())
                 ids_seen.append(batch.column(0))
         if writer is not None:
             writer.close()
