@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, pfor, warc
+from . import bpe, decontaminate, minhash, pfor, suffix, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix.op1_suffix_dedup,
     "op7_near_dedup": minhash.op7_near_dedup,
     "op10_warc": warc.op10_warc,
     "op2_bpe": bpe.op2_bpe,
