@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, pfor, suffix, warc
+from . import bpe, chaining, decontaminate, minhash, pfor, suffix, warc
 
 QUERIES = {
+    "op5_substring_dedup": chaining.op5_substring_dedup,
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
     "op7_near_dedup": minhash.op7_near_dedup,
     "op10_warc": warc.op10_warc,
