@@ -61,11 +61,12 @@ def column_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes, or of one row."""
+def slices(offsets: np.ndarray, limit: int = 1 << 19, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes and ``rows`` rows, or of one row."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        hi = min(hi, lo + rows)
         yield lo, hi
         lo = hi
 

@@ -126,7 +126,7 @@ def band_keys(texts: DataFrame, *, bands: int = BANDS, rows: int = ROWS, shingle
         for batch in batches:
             data, off = K.column_bytes(batch.column(1))
             tid = batch.column(0).to_numpy()
-            for lo, hi in K.slices(off):
+            for lo, hi in K.slices(off, 1 << 18, 128):  # short texts need as many darts as long ones
                 r, h, w = shingles(data, off, lo, hi, shingle)
                 sig, has = signatures(r, h, w, hi - lo, bands * rows)
                 keys = np.broadcast_to(np.arange(1, bands + 1, dtype=U) * U(0x9E3779B97F4A7C15), (hi - lo, bands)).copy()
