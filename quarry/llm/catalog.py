@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chaining, decontaminate, licenses, minhash, pfor, suffix, warc
+from . import bpe, chaining, decontaminate, licenses, minhash, pfor, sampling, suffix, warc
 
 QUERIES = {
+    "op4_fingerprints": sampling.op4_fingerprints,
     "op8_license_scan": licenses.op8_license_scan,
     "op5_substring_dedup": chaining.op5_substring_dedup,
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
