@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chaining, decontaminate, licenses, minhash, pfor, sampling, suffix, warc
+from . import bpe, chaining, decontaminate, language, licenses, minhash, pfor, sampling, suffix, warc
 
 QUERIES = {
+    "op3_language_id": language.op3_language_id,
+    "language_id_pages": language.language_id_pages,
     "op4_fingerprints": sampling.op4_fingerprints,
     "op8_license_scan": licenses.op8_license_scan,
     "op5_substring_dedup": chaining.op5_substring_dedup,
