@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import saved, table, text_key
 
-LENGTH, ANCHOR, BUCKET, HOT = 400, 100, 1 << 18, 1500
+LENGTH, ANCHOR, BUCKET, HOT = 400, 100, 3 << 16, 300
+#: Steps in which the surroundings of an anchor are compared before a bucket is transformed.
+STEPS = 6
 U = np.uint64
 _PLACE = U((1 << 31) - 1)
 
@@ -58,10 +60,10 @@ def window_minima(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = ANCHOR):
-    """(row, first window, number of windows, anchor hash) of the segments of rows, windows counted in the row's bytes."""
+    """(row, first window, number of windows, anchor hash, place of the anchor in the segment) of the segments of rows."""
     size = np.diff(off)
     if not len(data) or size.max() < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U), np.zeros(0, np.int64))
     n = len(data)
     pw, ip = K.powers(n + 1)
     sums = np.zeros(n + 1, U)
@@ -74,7 +76,8 @@ def segments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = A
     new[1:] &= (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | ~valid[:-1]
     first = np.flatnonzero(new)
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
-    return row[first], first - off[row[first]], stop - first, h[place[first].astype(np.int64)]
+    at = place[first].astype(np.int64)
+    return row[first], first - off[row[first]], stop - first, h[at], at - first
 
 
 def _segment_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
@@ -84,7 +87,7 @@ def _segment_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
             t, u = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in K.slices(off):
                 own = data[off[lo] : off[hi]]
-                row, start, count, anchor = segments(own, off[lo : hi + 1] - off[lo], length, k)
+                row, start, count, anchor, at = segments(own, off[lo : hi + 1] - off[lo], length, k)
                 if not len(row):
                     continue
                 begin = off[lo:hi][row] - off[lo] + start
@@ -92,11 +95,11 @@ def _segment_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
                 raw = memoryview(own)
                 digest = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t[lo:hi][row]), pa.array(u[lo:hi][row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(anchor.view(np.int64))],
-                    names=["t", "u", "start", "size", "s1", "s2", "anchor"],
+                    [pa.array(t[lo:hi][row]), pa.array(u[lo:hi][row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(anchor.view(np.int64)), pa.array(at.astype(np.int32))],
+                    names=["t", "u", "start", "size", "s1", "s2", "anchor", "at"],
                 )
 
-    return texts.mapInArrow(run, "t bigint, u int, start int, size int, s1 bigint, s2 bigint, anchor bigint")
+    return texts.mapInArrow(run, "t bigint, u int, start int, size int, s1 bigint, s2 bigint, anchor bigint, at int")
 
 
 # -- the transform -------------------------------------------------------------------------------
@@ -153,7 +156,7 @@ def expand(bwt: np.ndarray, length: int) -> np.ndarray:
     have a common prefix of at least ``length``.
     """
     n = len(bwt)
-    by_value = np.argsort(bwt, kind="stable")
+    by_value = np.argsort(bwt.astype(np.int16), kind="stable")
     last = np.empty(n, np.int64)
     last[by_value] = np.arange(n)  # place before which each value moves (the LF map)
     open_ = np.ones(n + 1, bool)
@@ -207,28 +210,63 @@ _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 _FOUND = "s1 bigint, s2 bigint, spans array<struct<a:int,b:int>>"
 
 
-def _by_transform(parts: DataFrame, length: int) -> DataFrame:
-    """Decides segments (anchor, s1, s2, n, bytes), packed to buckets of whole anchors."""
+def _alike(rows: list, length: int, anchor: int) -> list:
+    """Of the segments of one anchor those that share enough around it with another for a common window.
+
+    Two windows are equal only if the segments agree on l bytes before and r bytes after the
+    anchor with l + r >= length - anchor; for one of STEPS splits, l and r are then at least
+    i and STEPS - 1 - i steps.
+    """
+    step = (length - anchor) // STEPS
+    if len(rows) < 2 or not step:
+        return rows
+    keys, count = [], {}
+    for *_, at, raw in rows:
+        own = []
+        for i in range(STEPS):
+            lo, hi = at - i * step, at + anchor + (STEPS - 1 - i) * step
+            if lo >= 0 and hi <= len(raw):
+                own.append((i, raw[lo:hi]))
+        keys.append(own)
+        for x in own:
+            count[x] = count.get(x, 0) + 1
+    return [r for r, own in zip(rows, keys, strict=True) if any(count[x] > 1 for x in own)]
+
+
+def _by_transform(parts: DataFrame, length: int, k: int) -> DataFrame:
+    """Decides segments (anchor, s1, s2, n, at, bytes), packed to buckets of whole anchors."""
 
     def decide(rows):
-        hits = long_repeats([r[3] for r in rows], length)
+        hits = long_repeats([r[-1] for r in rows], length)
         out = [(r[0], r[1], _runs(h, length)) for r, h in zip(rows, hits, strict=True) if r[2] == 1 and len(h)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], _SPANS)], names=["s1", "s2", "spans"])
 
     def run(batches):
-        rows, size, anchor = [], 0, None
+        bucket, group, size, anchor = [], [], 0, None
+
+        def close():
+            nonlocal size
+            own = _alike(group, length, k)
+            if any(r[2] == 1 for r in own):
+                bucket.extend(own)
+                size += sum(len(r[-1]) for r in own)
+            group.clear()
+
         for batch in batches:
             for a, *r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a != anchor and size >= BUCKET:
-                    yield decide(rows)
-                    rows, size = [], 0
+                if a != anchor:
+                    close()
+                    if size >= BUCKET:
+                        yield decide(bucket)
+                        bucket.clear()
+                        size = 0
                 anchor = a
-                rows.append(r)
-                size += len(r[3])
-        if rows:
-            yield decide(rows)
+                group.append(r)
+        close()
+        if bucket:
+            yield decide(bucket)
 
-    ordered = parts.select("anchor", "s1", "s2", "n", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    ordered = parts.select("anchor", "s1", "s2", "n", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     return ordered.mapInArrow(run, _FOUND)
 
 
@@ -262,11 +300,11 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, a
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(text).select(*text_ids("text"), "text")
     segs = _segment_rows(base, length, anchor)
-    distinct = saved(segs.groupBy("s1", "s2", "anchor").agg(F.count("*").alias("n"), F.first("t").alias("t"), F.first("start").alias("start"), F.first("size").alias("size")), "segments")
+    distinct = saved(segs.groupBy("s1", "s2", "anchor").agg(F.count("*").alias("n"), F.first("t").alias("t"), F.first("start").alias("start"), F.first("size").alias("size"), F.first("at").alias("at")), "segments")
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
     wanted = distinct.join(shared.select("anchor", "kinds"), "anchor")
     texts = base.groupBy("t", "u").agg(F.first("text").alias("text"))
-    asked = wanted.groupBy("t").agg(F.collect_list(F.struct("start", "size", "s1", "s2", "n", "anchor", "kinds")).alias("asked"))
+    asked = wanted.groupBy("t").agg(F.collect_list(F.struct("start", "size", "s1", "s2", "n", "anchor", "kinds", "at")).alias("asked"))
 
     def cut(batches):
         for batch in batches:
@@ -277,13 +315,13 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, a
                 for a in ask:
                     part = bytes(view[a["start"] : a["start"] + a["size"]])
                     if hashlib.blake2b(part, digest_size=16).digest() == np.array([a["s1"], a["s2"]], np.int64).tobytes():
-                        out.append((a["anchor"], a["kinds"], a["s1"], a["s2"], a["n"], part))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names=["anchor", "kinds", "s1", "s2", "n", "bytes"])
+                        out.append((a["anchor"], a["kinds"], a["s1"], a["s2"], a["n"], a["at"], part))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["anchor", "kinds", "s1", "s2", "n", "at", "bytes"])
 
-    parts = saved(texts.join(asked, "t").select("text", "asked").mapInArrow(cut, "anchor bigint, kinds bigint, s1 bigint, s2 bigint, n bigint, bytes binary"), "parts")
+    parts = saved(texts.join(asked, "t").select("text", "asked").mapInArrow(cut, "anchor bigint, kinds bigint, s1 bigint, s2 bigint, n bigint, at bigint, bytes binary"), "parts")
     whole = distinct.where("n > 1").select("s1", "s2", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("spans"))
-    found = saved(_by_transform(parts.where(F.col("kinds") <= hot), length).union(_by_windows(parts.where(F.col("kinds") > hot), length)).union(whole), "repeats")
+    found = saved(_by_transform(parts.where(F.col("kinds") <= hot), length, anchor).union(_by_windows(parts.where(F.col("kinds") > hot), length)).union(whole), "repeats")
     placed = segs.select("t", "u", "start", "s1", "s2").join(found, ["s1", "s2"])
     span = F.explode("spans")
     placed = placed.select("t", "u", "start", span.alias("x")).select("t", "u", F.struct((F.col("start") + F.col("x.a")).alias("a"), (F.col("start") + F.col("x.b")).alias("b")).alias("x"))
