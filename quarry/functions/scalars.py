@@ -27,14 +27,6 @@ def admitted(content: Column) -> Column:
     return (F.octet_length(content) <= MAX_FILE_BYTES) & ~has_nul(content)
 
 
-def shannon_entropy(content: Column) -> Column:
-    """Bits per byte, from the counts of each byte value in the hex form of the bytes."""
-    pairs = F.regexp_extract_all(F.hex(content.cast("binary")), F.lit("(..)"), F.lit(1))
-    n = F.size(pairs)
-    runs = F.map_values(F.aggregate(pairs, F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<int>))"), lambda m, x: F.map_zip_with(m, F.create_map(x, F.lit(1)), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))))
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(runs, F.lit(0.0), lambda s, c: s - (c / n) * F.log2(c / n)))
-
-
 def rejection(content: Column, entropy: Column) -> Column:
     """Corpus gate: the first reason that applies, or null."""
     return F.when(F.octet_length(content) > MAX_FILE_BYTES, "too_large").when(has_nul(content), "binary_nul").when(entropy > MAX_ENTROPY, "high_entropy")

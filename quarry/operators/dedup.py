@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,28 @@ def shingles(toks: Column) -> Column:
     return F.when(F.size(toks) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(many))
 
 
-def signature(sh: Column, n: int = BANDS * ROWS) -> Column:
-    """MinHash: per permutation the smallest rehash of a shingle."""
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.array_min(F.transform(sh, lambda x: F.xxhash64(x, k))))
+_RNG = np.random.default_rng(20240101)
+_MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+@F.pandas_udf("array<bigint>")
+def band_keys(sh: pd.Series) -> pd.Series:
+    """A key per band of the MinHash signature of an array of shingle hashes: 128 multiply-add permutations, 16 bands of 8 rows."""
+
+    def keys(x):
+        h = np.asarray(x, np.int64).view(np.uint64)
+        low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(h), 2048):
+            part = h[at : at + 2048, None] * _MUL + _ADD
+            np.minimum(low, (part ^ (part >> np.uint64(29))).min(axis=0), out=low)
+        acc = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for row in low.reshape(BANDS, ROWS).T:
+            acc = (acc ^ row) * np.uint64(0x9E3779B97F4A7C15)
+            acc ^= acc >> np.uint64(32)
+        return acc.view(np.int64)
+
+    return sh.map(keys)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -69,9 +90,7 @@ def classify(docs: DataFrame, seq: str = "doc_id") -> DataFrame:
 
 def near_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(seq, other, similarity) of pairs with an earlier ``other``; rows are (seq, sh) of different texts."""
-    sig = rows.withColumn("sig", signature(F.col("sh")))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.array_join(F.transform(F.slice(F.col("sig"), b * ROWS + 1, ROWS), lambda v: v.cast("string")), ",")))
-    keyed = sig.select("seq", F.explode(bands).alias("band"))
+    keyed = rows.select("seq", F.explode(band_keys("sh")).alias("band"))
     pairs = keyed.alias("a").join(keyed.withColumnRenamed("seq", "other").alias("b"), "band").where("other < seq").select("seq", "other").distinct()
     wide = pairs.join(rows, "seq").join(rows.select(F.col("seq").alias("other"), F.col("sh").alias("osh")), "other")
     return wide.select("seq", "other", jaccard(F.col("sh"), F.col("osh")).alias("similarity")).where(F.col("similarity") >= threshold)

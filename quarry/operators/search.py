@@ -199,14 +199,23 @@ def byte_budget(rows: DataFrame, order: list, cap: int = 25_000) -> DataFrame:
 
 def trigrams(docs: DataFrame) -> DataFrame:
     """Positional postings: (gram, doc_id, offsets) over the UTF-8 bytes of admitted documents; grams are three bytes in hex."""
-    hexed = F.hex(F.col("content").cast("binary"))
     n = F.octet_length("content")
     ok = docs.where(S.admitted(F.col("content")) & (n >= 3))
-    pos = ok.select("doc_id", hexed.alias("h"), F.explode(F.sequence(F.lit(0), n - 3)).alias("o"))
-    gram = F.substring("h", F.col("o") * 2 + 1, F.lit(6))
+    pos = ok.select("doc_id", F.col("content").cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), n - 3)).alias("o"))
+    gram = F.hex(F.substring("b", F.col("o") + 1, F.lit(3)))
     return pos.select("doc_id", gram.alias("gram"), "o").groupBy("gram", "doc_id").agg(F.sort_array(F.collect_list("o")).alias("offsets"))
 
 
+def entropies(docs: DataFrame) -> DataFrame:
+    """(doc_id, entropy): Shannon entropy of a document's bytes in bits per byte; empty contents have 0."""
+    n = F.octet_length("content")
+    each = docs.where(n > 0).select("doc_id", n.alias("n"), F.col("content").cast("binary").alias("b"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    counts = each.select("doc_id", "n", F.substring("b", F.col("i"), F.lit(1)).alias("x")).groupBy("doc_id", "n", "x").agg(F.count("*").alias("k"))
+    p = F.col("k") / F.col("n")
+    known = counts.groupBy("doc_id").agg((-F.sum(p * F.log2(p))).alias("entropy"))
+    return docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
+
+
 def planned_candidates(postings: DataFrame, literals: list[str]) -> DataFrame:
     """Documents that have every trigram of the literals (a superset of the matches), by a semi-join and one count."""
     grams = sorted({b[i : i + 3].hex().upper() for s in literals for b in [s.encode()] for i in range(len(b) - 2)})

@@ -149,9 +149,9 @@ def _(spark, d):
     return rank.npms_scores(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", F.round("npms", 6).alias("npms"))
 
 
-@_query("sc_entropy")
+@_query("sc_entropy", f"WITH {DOCS}, b AS (SELECT doc_id, h[2 * i + 1:2 * i + 2] AS c FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM (SELECT doc_id, hex(encode(content)) AS h FROM docs))), g AS (SELECT doc_id, c, count(*) AS k FROM b GROUP BY 1, 2), n AS (SELECT doc_id, k, sum(k) OVER (PARTITION BY doc_id) AS n FROM g) SELECT doc_id, round(-sum(k / n * log2(k / n)), 6) AS entropy FROM n GROUP BY doc_id")
 def _(spark, d):
-    return _docs(spark, d).where(F.octet_length("content") < 2000).select("doc_id", F.round(S.shannon_entropy(F.col("content")), 6).alias("entropy"))
+    return search.entropies(_docs(spark, d)).select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 
 # -- search ---------------------------------------------------------------------------------------
@@ -239,10 +239,10 @@ def _(spark, d):
     return search.planned_candidates(search.trigrams(_docs(spark, d)), [PROBE])
 
 
-@_query("txt_update", f"WITH {DOCS} SELECT doc_id, repo, path, md5(CASE WHEN doc_id % 10 = 0 THEN upper(content) ELSE content END) AS digest FROM docs WHERE repo <> 'org/src4'")
+@_query("txt_update", f"WITH {DOCS} SELECT doc_id, repo, path, md5(CASE WHEN doc_id % 10 = 0 THEN reverse(content) ELSE content END) AS digest FROM docs WHERE repo <> 'org/src4'")
 def _(spark, d):
     docs = _docs(spark, d)
-    out = search.remove_repo(search.update_docs(docs, docs.where("doc_id % 10 = 0").withColumn("content", F.upper("content"))), "org/src4")
+    out = search.remove_repo(search.update_docs(docs, docs.where("doc_id % 10 = 0").withColumn("content", F.reverse("content"))), "org/src4")
     return out.select("doc_id", "repo", "path", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
@@ -271,8 +271,8 @@ def _(spark, d):
 
 
 _NEAR = f"""{TIERS}, w AS (SELECT DISTINCT seq, s FROM (SELECT seq, unnest(list_transform(range(1, greatest(len(toks) - 4, 1) + 1), lambda i: array_to_string(toks[i:i + 4], ' '))) AS s FROM u WHERE len(toks) >= 50)
-), n AS (SELECT seq, count(*) AS k FROM w GROUP BY seq), p AS (SELECT a.seq, b.seq AS other, count(*) AS both FROM w a JOIN w b ON a.s = b.s AND b.seq < a.seq GROUP BY 1, 2
-), nr AS (SELECT p.seq, other, both / (n1.k + n2.k - both) AS sim FROM p JOIN n n1 ON p.seq = n1.seq JOIN n n2 ON p.other = n2.seq WHERE both / (n1.k + n2.k - both) >= 0.85
+), n AS (SELECT seq, count(*) AS k FROM w GROUP BY seq), p AS (SELECT a.seq, b.seq AS other, count(*) AS common FROM w a JOIN w b ON a.s = b.s AND b.seq < a.seq GROUP BY 1, 2
+), nr AS (SELECT p.seq, other, common / (n1.k + n2.k - common) AS sim FROM p JOIN n n1 ON p.seq = n1.seq JOIN n n2 ON p.other = n2.seq WHERE common / (n1.k + n2.k - common) >= 0.85
 ), best AS (SELECT seq, arg_max(other, (sim, -other)) AS o, max(sim) AS sim FROM nr GROUP BY seq)"""
 _VERDICTS = f"""WITH {_NEAR}, v AS (SELECT seq, 'exact' AS kind, hash AS "of", NULL::DOUBLE AS similarity FROM x WHERE seq > first
 UNION ALL SELECT seq, 'token', thead, NULL FROM r WHERE seq > tfirst UNION ALL SELECT u.seq, CASE WHEN o IS NULL THEN 'unique' ELSE 'near' END, CAST(o AS VARCHAR), round(sim, 6) FROM u LEFT JOIN best ON u.seq = best.seq)"""
@@ -382,12 +382,12 @@ def _(spark, d):
 # -- graph ----------------------------------------------------------------------------------------
 
 _NODES = "SELECT p_partkey AS id FROM part"
-_RAW = "SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS dst FROM lineitem"
+_RAW = "SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem"
 _EDGES = f"SELECT DISTINCT src, dst FROM ({_RAW}) WHERE dst IS NOT NULL AND src <> dst"
 
 
 def _graph(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     raw = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL")
     return table(spark, d, "part").select(F.col("p_partkey").alias("id")), raw
 
@@ -440,8 +440,8 @@ def _sat(v: str, cap: int) -> str:
 
 
 _SCORE = f"""WITH {_SIGNALS}, c AS (SELECT repo_url, last_push_days_ago AS days, archived, 0.20::DOUBLE * {_sat('dependents_count', 10000)} AS c_dependents, 0.15::DOUBLE * (0.7 * {_sat('stars', 30000)} + 0.3 * {_sat('forks', 5000)}) AS c_popularity,
-  0.15::DOUBLE * (0.4 * CASE WHEN last_push_days_ago IS NULL THEN 0.5 ELSE 1 - greatest(0, least(1, last_push_days_ago / 730.0)) END + 0.3 * coalesce(least(1, release_cadence / 12), 0.5) + 0.3 * coalesce(1 - least(1, issue_response_days / 30), 0.5)) AS c_maintenance,
-  0.10::DOUBLE * (0.5 * coalesce(least(1, openssf_score / 10), 0.5) + CASE WHEN lic THEN 0.25 ELSE 0 END + CASE WHEN tests THEN 0.25 ELSE 0 END) AS c_quality, 0.05::DOUBLE * least(1, awesome / 3.0) AS c_awesome_list, 0.05::DOUBLE * {_sat('hn', 50)} AS c_hn_mentions FROM sig),
+  0.15::DOUBLE * (0.4 * CASE WHEN last_push_days_ago IS NULL THEN 0.5 ELSE 1 - greatest(0, least(1, last_push_days_ago / 730.0)) END + 0.3 * CASE WHEN release_cadence IS NULL THEN 0.5 ELSE least(1, release_cadence / 12) END + 0.3 * CASE WHEN issue_response_days IS NULL THEN 0.5 ELSE 1 - least(1, issue_response_days / 30) END) AS c_maintenance,
+  0.10::DOUBLE * (0.5 * CASE WHEN openssf_score IS NULL THEN 0.5 ELSE least(1, openssf_score / 10) END + CASE WHEN lic THEN 0.25 ELSE 0 END + CASE WHEN tests THEN 0.25 ELSE 0 END) AS c_quality, 0.05::DOUBLE * least(1, awesome / 3.0) AS c_awesome_list, 0.05::DOUBLE * {_sat('hn', 50)} AS c_hn_mentions FROM sig),
 s AS (SELECT *, c_dependents + c_popularity + c_maintenance + c_quality + c_awesome_list + c_hn_mentions AS base, CASE WHEN archived THEN 0.25 ELSE 1.0 END * CASE WHEN days > 730 THEN 0.5 ELSE 1.0 END AS gate FROM c)"""
 
 
@@ -456,14 +456,14 @@ def _(spark, d):
     return rank.rank(_signals(spark, d), min_stars=100).select("repo_url", F.round("score", 6).alias("score"))
 
 
-@_query("rk_merge", f"""WITH {_SIGNALS}, seeds AS (SELECT p_partkey AS seq, 'HTTPS://Hub.example/org/part' || (p_partkey % 50) || CASE WHEN p_partkey % 2 = 0 THEN '.git' ELSE '/' END AS u, (['github', 'npm', 'awesome'])[CAST(p_partkey % 3 + 1 AS INT)] AS source, sig.* EXCLUDE (p_partkey, repo_url) FROM sig)
-SELECT 'https://hub.example/org/part' || (seq % 50) AS repo_url, min(seq) AS seq, max(stars) AS stars, max(forks) AS forks, min(last_push_days_ago) AS last_push_days_ago, round(arg_min(release_cadence, seq) FILTER (WHERE release_cadence IS NOT NULL), 6) AS release_cadence, bool_or(archived) AS archived,
-  (SELECT string_agg(source, ',' ORDER BY f) FROM (SELECT source, min(seq) AS f FROM seeds s2 WHERE s2.seq % 50 = seeds.seq % 50 GROUP BY source)) AS sources FROM seeds GROUP BY seq % 50""")
+@_query("rk_merge", f"""WITH {_SIGNALS}, seeds AS (SELECT p_partkey AS seq, 'HTTPS://Hub.example/org/part' || (p_partkey % 50) || CASE WHEN p_partkey % 2 = 0 THEN '.git' ELSE '/' END AS u, (['github', 'npm', 'awesome'])[CAST(p_partkey % 3 + 1 AS INT)] AS source, sig.* EXCLUDE (p_partkey, repo_url) FROM sig), src AS (SELECT k, string_agg(source, ',' ORDER BY f) AS sources FROM (SELECT seq % 50 AS k, source, min(seq) AS f FROM seeds GROUP BY 1, 2) GROUP BY k)
+SELECT 'https://hub.example/org/part' || (seq % 50) AS repo_url, min(seq) AS seq, max(stars) AS stars, max(forks) AS forks, min(last_push_days_ago) AS last_push_days_ago, round(arg_min(release_cadence, seq) FILTER (WHERE release_cadence IS NOT NULL), 6) AS release_cadence, bool_or(archived) AS archived, any_value(src.sources) AS sources
+FROM seeds JOIN src ON seq % 50 = k GROUP BY seq % 50""")
 def _(spark, d):
     k = F.col("p_partkey")
     url = F.concat(F.lit("HTTPS://Hub.example/org/part"), (k % 50).cast("string"), F.when(k % 2 == 0, ".git").otherwise("/"))
     source = F.element_at(F.array(*map(F.lit, ["github", "npm", "awesome"])), (k % 3 + 1).cast("int"))
-    seeds = _signals(spark, d).select(k.alias("seq"), url.alias("repo_url"), source.alias("source"), "*").drop("p_partkey") if False else _signals(spark, d).withColumn("repo_url", url).withColumn("source", source).withColumnRenamed("p_partkey", "seq")
+    seeds = _signals(spark, d).withColumn("repo_url", url).withColumn("source", source).withColumnRenamed("p_partkey", "seq")
     out = rank.merge_candidates(seeds)
     return out.select("repo_url", "seq", "stars", "forks", "last_push_days_ago", F.round("release_cadence", 6).alias("release_cadence"), "archived", F.array_join("sources", ",").alias("sources"))
 
