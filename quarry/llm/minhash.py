@@ -142,7 +142,7 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     """Distinct (a, b): a text and a hub of one of its buckets."""
     mixed = F.col("tid").bitwiseXOR(F.col("key"))  # another order in each bucket
     hubs = keys.groupBy("key").agg(F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).where("lo <> hi")
-    met = keys.join(hubs, "key").select("tid", F.explode(F.array(F.col("lo").bitwiseXOR(F.col("key")), F.col("hi").bitwiseXOR(F.col("key")))).alias("hub"))
+    met = keys.join(hubs.hint("merge"), "key").select("tid", F.explode(F.array(F.col("lo").bitwiseXOR(F.col("key")), F.col("hi").bitwiseXOR(F.col("key")))).alias("hub"))
     return met.where("tid <> hub").select(F.least("tid", "hub").alias("a"), F.greatest("tid", "hub").alias("b")).distinct()
 
 
@@ -173,7 +173,7 @@ def verify(pairs: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD,
     prof = saved(texts.select("tid", "text").mapInArrow(profile, "tid bigint, terms binary, counts binary"), "shingles")
     left = prof.select(F.col("tid").alias("a"), F.col("terms").alias("ta"), F.col("counts").alias("ca"))
     right = prof.select(F.col("tid").alias("b"), F.col("terms").alias("tb"), F.col("counts").alias("cb"))
-    wide = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "ca", "tb", "cb")
+    wide = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "ca", "tb", "cb")
 
     def check(batches):
         for batch in batches:
@@ -187,11 +187,12 @@ def verify(pairs: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD,
 
 def text_links(docs: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """Verified links (a, b, similarity) between the ids of different texts."""
+    # the joins are told to sort and merge, so that small inputs run the plan that large ones need
     base = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", text_id("text"))
     keys = saved(band_keys(base, bands=bands, rows=rows, shingle=shingle), "bands")
     pairs = saved(candidate_pairs(keys), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    texts = base.groupBy("tid").agg(F.first("text").alias("text")).join(wanted, "tid", "left_semi")
+    texts = base.groupBy("tid").agg(F.first("text").alias("text")).join(wanted.hint("merge"), "tid", "left_semi")
     return saved(verify(pairs, texts, threshold=threshold, shingle=shingle), "links")
 
 
@@ -200,10 +201,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = text_links(docs, text_col=text_col, **options)
     roots = components(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("n_links"))
-    info = roots.withColumnRenamed("id", "tid").join(degree, "tid", "left")
+    info = saved(roots.withColumnRenamed("id", "tid").join(degree, "tid", "left"), "classes-of-texts")
     rows = docs.select(F.col(id_col), text_id(text_col).alias("tid")).join(info, "tid", "left")
     rows = saved(rows.select(id_col, "tid", F.coalesce("root", "tid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "members")
-    classes = rows.groupBy("root").agg(F.min(id_col).alias("class_id"), F.count("*").alias("class_size"))
+    classes = saved(rows.groupBy("root").agg(F.min(id_col).alias("class_id"), F.count("*").alias("class_size")), "classes")
     return rows.join(classes, "root").select(id_col, "tid", "root", "class_id", "class_size", "n_links")
 
 
