@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import saved, table, text_key
 
-LENGTH, ANCHOR, BUCKET, HOT = 400, 100, 3 << 16, 300
+LENGTH, ANCHOR, BUCKET, HOT = 400, 100, 3 << 16, 4000
 #: Steps in which the surroundings of an anchor are compared before a bucket is transformed.
 STEPS = 6
 U = np.uint64
@@ -98,6 +98,7 @@ def _segment_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
                     [pa.array(t[lo:hi][row]), pa.array(u[lo:hi][row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(anchor.view(np.int64)), pa.array(at.astype(np.int32))],
                     names=["t", "u", "start", "size", "s1", "s2", "anchor", "at"],
                 )
+        K.trim()
 
     return texts.mapInArrow(run, "t bigint, u int, start int, size int, s1 bigint, s2 bigint, anchor bigint, at int")
 
@@ -210,24 +211,22 @@ _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 _FOUND = "s1 bigint, s2 bigint, spans array<struct<a:int,b:int>>"
 
 
-def _alike(rows: list, length: int, anchor: int) -> list:
-    """Of the segments of one anchor those that share enough around it with another for a common window.
+def _surroundings(at: int, raw: bytes, length: int, anchor: int) -> list[tuple[int, bytes]]:
+    """STEPS strings around the anchor of a segment, as far as they lie in it.
 
-    Two windows are equal only if the segments agree on l bytes before and r bytes after the
-    anchor with l + r >= length - anchor; for one of STEPS splits, l and r are then at least
-    i and STEPS - 1 - i steps.
+    Two windows are equal only if their segments agree on l bytes before and r bytes after the
+    anchor with l + r >= length - anchor; for one of the STEPS splits, l and r are then at least
+    i and STEPS - 1 - i steps, and the segments share that string.
     """
-    step = (length - anchor) // STEPS
-    if len(rows) < 2 or not step:
-        return rows
-    keys, count = [], {}
-    for *_, at, raw in rows:
-        own = []
-        for i in range(STEPS):
-            lo, hi = at - i * step, at + anchor + (STEPS - 1 - i) * step
-            if lo >= 0 and hi <= len(raw):
-                own.append((i, raw[lo:hi]))
-        keys.append(own)
+    step = max(1, (length - anchor) // STEPS)
+    ends = [(i, at - i * step, at + anchor + (STEPS - 1 - i) * step) for i in range(STEPS)]
+    return [(i, raw[lo:hi]) for i, lo, hi in ends if lo >= 0 and hi <= len(raw)]
+
+
+def _alike(rows: list, length: int, anchor: int) -> list:
+    """Of the segments of one anchor those that share a string around it with another."""
+    keys, count = [_surroundings(r[-2], r[-1], length, anchor) for r in rows], {}
+    for own in keys:
         for x in own:
             count[x] = count.get(x, 0) + 1
     return [r for r, own in zip(rows, keys, strict=True) if any(count[x] > 1 for x in own)]
@@ -265,13 +264,25 @@ def _by_transform(parts: DataFrame, length: int, k: int) -> DataFrame:
         close()
         if bucket:
             yield decide(bucket)
+        K.trim()
 
     ordered = parts.select("anchor", "s1", "s2", "n", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     return ordered.mapInArrow(run, _FOUND)
 
 
-def _by_windows(parts: DataFrame, length: int) -> DataFrame:
-    """Decides segments of hot anchors by hashes of their windows."""
+def _by_windows(parts: DataFrame, length: int, k: int) -> DataFrame:
+    """Decides segments of hot anchors by hashes of their windows, after those that share no surroundings have gone."""
+
+    def surroundings(batches):
+        for batch in batches:
+            out = [(s1, s2, x) for anchor, s1, s2, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in ((anchor, *y) for y in _surroundings(at, raw, length, k))]
+            keys = [int.from_bytes(hashlib.blake2b(x[2], digest_size=8, key=f"{x[0]} {x[1]}".encode()).digest(), "little", signed=True) for _, _, x in out]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array(keys, pa.int64())], names=["s1", "s2", "key"])
+
+    around = parts.select("anchor", "s1", "s2", "at", "bytes").mapInArrow(surroundings, "s1 bigint, s2 bigint, key bigint")
+    met = around.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    alive = around.join(met, "key", "left_semi").select("s1", "s2").distinct()
+    parts = parts.join(alive, ["s1", "s2"], "left_semi")
 
     def hashes(batches):
         for batch in batches:
@@ -321,7 +332,7 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, a
 
     parts = saved(texts.join(asked, "t").select("text", "asked").mapInArrow(cut, "anchor bigint, kinds bigint, s1 bigint, s2 bigint, n bigint, at bigint, bytes binary"), "parts")
     whole = distinct.where("n > 1").select("s1", "s2", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("spans"))
-    found = saved(_by_transform(parts.where(F.col("kinds") <= hot), length, anchor).union(_by_windows(parts.where(F.col("kinds") > hot), length)).union(whole), "repeats")
+    found = saved(_by_transform(parts.where(F.col("kinds") <= hot), length, anchor).union(_by_windows(parts.where(F.col("kinds") > hot), length, anchor)).union(whole), "repeats")
     placed = segs.select("t", "u", "start", "s1", "s2").join(found, ["s1", "s2"])
     span = F.explode("spans")
     placed = placed.select("t", "u", "start", span.alias("x")).select("t", "u", F.struct((F.col("start") + F.col("x.a")).alias("a"), (F.col("start") + F.col("x.b")).alias("b")).alias("x"))
@@ -331,7 +342,7 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, a
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """``docs`` with removed (merged byte ranges), n_bytes, and kept: the remaining bytes."""
     docs = docs.drop("t", "u", "spans", "removed", "n_bytes", "kept")
-    found = repeated(docs, text_col=text_col, length=length, **options)
+    found = saved(repeated(docs, text_col=text_col, length=length, **options), "spans")
     keyed = docs.select("*", *text_ids(text_col)).join(found, ["t", "u"], "left").select(*docs.columns, "spans")
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
