@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import scalars as S
 from quarry.sources.tables import content_hash
@@ -34,7 +35,7 @@ _MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) +
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def band_keys(sh: pd.Series) -> pd.Series:
     """A key per band of the MinHash signature of an array of shingle hashes: 128 multiply-add permutations, 16 bands of 8 rows."""
 

@@ -161,12 +161,13 @@ def grep_docs(docs: DataFrame, probe: str) -> DataFrame:
     return hits.groupBy("repo", "path").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("line"), F.col("line").alias("text")))).alias("lines"))
 
 
-def tree(docs: DataFrame, repo: str, *, prefix: str = "", glob: str = "", limit: int = 200) -> DataFrame:
+def tree(docs: DataFrame, repo: str, *, prefix: str = "", glob: str = "", limit: int | None = 200) -> DataFrame:
     """Sorted paths of a repo below a prefix; a glob is a suffix of the file name after a leading ``*``."""
     rows = docs.where((F.col("repo") == repo) & F.col("path").startswith(prefix))
     if glob:
         rows = rows.where(F.substring_index("path", "/", -1).endswith(glob.lstrip("*")))
-    return rows.select("path", F.octet_length("content").cast("long").alias("size")).orderBy("path").limit(limit)
+    out = rows.select("path", F.octet_length("content").cast("long").alias("size"))
+    return out if limit is None else out.orderBy("path").limit(limit)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
