@@ -84,9 +84,14 @@ class Model:
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits the text model on at most ``sample`` labelled rows, those with the smallest hashes."""
+    """Fits the text model on at most ``sample`` different labelled texts, those with the smallest hashes."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    return Model.fit([(r.l, r.t) for r in rows.orderBy(F.xxhash64("t", "l"), "l").limit(sample).collect()])
+    rows = rows.withColumn("h", F.xxhash64("t", "l"))
+    cut = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if cut is None:
+        return Model.fit([])
+    chosen = rows.where(F.col("h") <= cut).groupBy("h", "l").agg(F.first("t").alias("t"))
+    return Model.fit([(r.l, r.t) for r in chosen.orderBy("h").limit(sample).collect()])
 
 
 def html_text(html: Column) -> Column:
@@ -152,6 +157,7 @@ def detect(docs: DataFrame, model: Model, *, text: Column, declared: Column | No
             score, has, more = evidence(batch.column(0), batch.column(1), batch.column(2))
             p = _softmax(score + more) * has[:, None]
             yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), *(pa.array(p[:, i]) for i in range(k))], names=["h", "m", *(f"c{i}" for i in range(k))])
+        K.trim()
 
     counts = base.select("_t", "_d", "_a", "_h", "_m").mapInArrow(soft, "h string, m string, " + ", ".join(f"c{i} double" for i in range(k)))
     sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]
@@ -179,6 +185,7 @@ def detect(docs: DataFrame, model: Model, *, text: Column, declared: Column | No
             top = np.where(has, post[np.arange(len(post)), best], 1.0)
             cols = [pa.array([langs[i] for i in best]), pa.array(top), pa.array((best < k - 1) & (top >= MIN_POSTERIOR)), pa.array([langs[i] if h else "und" for i, h in zip(score.argmax(axis=1), has, strict=True)])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], names=[*batch.schema.names[:width], *new])
+        K.trim()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(fuse, f"{fields}, language string, posterior double, accepted boolean, text_language string")

@@ -13,10 +13,21 @@ from pyspark.sql import functions as F
 _SCRATCH: dict[str, SparkSession] = {}
 
 
+#: Rows that travel to a Python worker at once. Whole texts make rows large, so Spark's default of 10,000 is too many.
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the batch size where the session has Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
@@ -65,6 +76,7 @@ def _clean() -> None:
 def saved(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch(spark, what)
     df.write.parquet(path)
     release(spark)
