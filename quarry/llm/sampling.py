@@ -50,19 +50,24 @@ def sample(h: Column, log_w: Column, k: int) -> Column:
     return F.shiftleft(high, NAME_BITS).bitwiseOR(name)
 
 
-def fingerprints(texts: DataFrame, keys: list[str], *, samples: int = SAMPLES) -> DataFrame:
-    """(keys, s): the samples of each row's ``text`` as array<bigint>; rows without terms have no row. The keys name a row."""
-    runs = texts.select(*keys, shingle_hashes(F.col("text")).alias("xs")).where("xs is not null")
-    rows = runs.select(*keys, "xs", F.explode(F.sequence(F.lit(0), F.size("xs") - 1)).alias("i"))
+def fingerprints(texts: DataFrame, keys: list[str], *, carry: list[str] | None = None, samples: int = SAMPLES) -> DataFrame:
+    """(keys, carry, s): the samples of each row's ``text`` as array<bigint>, null without terms. The keys name a row.
+
+    Columns to carry along go through the aggregation as maxima; with numbers it stays a hash aggregation.
+    """
+    carry = carry or []
+    runs = texts.select(*keys, *carry, shingle_hashes(F.col("text")).alias("xs"))
+    last = F.coalesce(F.size("xs"), F.lit(1)) - 1
+    rows = runs.select(*keys, *carry, "xs", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).alias("i"))
     h = F.get("xs", F.col("i"))
-    ends = rows.where((F.col("i") == F.size("xs") - 1) | (h != F.get("xs", F.col("i") + 1)))  # the last of equal hashes
-    weight = F.when((F.col("i") == 0) | (h != F.get("xs", F.col("i") - 1)), F.lit(1)).otherwise(F.size(F.filter("xs", lambda v: v == h)))
-    weighed = ends.select(*keys, h.alias("h"), weight.alias("w"))
+    ends = rows.where(F.col("xs").isNull() | (F.col("i") == F.size("xs") - 1) | (h != F.get("xs", F.col("i") + 1)))  # the last of equal hashes
+    weight = F.when((F.col("i") == 0) | (h != F.get("xs", F.col("i") - 1)), F.lit(1).cast("long")).otherwise(F.col("i") + 2 - F.array_position("xs", h))
+    weighed = ends.select(*keys, *carry, h.alias("h"), weight.alias("w"))
     log_w = F.when(F.col("w") == 1, F.lit(0.0)).otherwise(F.log(F.col("w").cast("double")))
-    ready = weighed.select(*keys, "h", log_w.alias("log_w"))
-    best = ready.groupBy(*keys).agg(*[F.min(sample(F.col("h"), F.col("log_w"), k)).alias(f"s{k}") for k in range(samples)])
+    ready = weighed.select(*keys, *carry, "h", log_w.alias("log_w"))
+    best = ready.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry], *[F.min(F.when(F.col("h").isNotNull(), sample(F.col("h"), F.col("log_w"), k))).alias(f"s{k}") for k in range(samples)])
     mask = F.lit((1 << NAME_BITS) - 1)
-    return best.select(*keys, F.array(*[F.col(f"s{k}").bitwiseAND(mask) for k in range(samples)]).alias("s"))
+    return best.select(*keys, *carry, F.when(F.col("s0").isNotNull(), F.array(*[F.col(f"s{k}").bitwiseAND(mask) for k in range(samples)])).alias("s"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -78,11 +83,11 @@ def as_text(s: Column) -> Column:
 def in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(part, place, id, text, next_part, next_place, next_text): each row and the next in ascending order of (id, text), cyclic.
 
-    Parts are ranges of ids between approximate quantiles, at most ``parts`` (by default the number
-    of shuffle partitions), so one exchange brings neighbours together. The row after the last of a
+    Parts are ranges of ids between approximate quantiles, at most ``parts`` (by default six
+    per shuffle partition, so that hashing parts to partitions evens out), and one exchange brings neighbours together. The row after the last of a
     part comes from a table with one row a part.
     """
-    parts = parts or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or 6 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     row = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = row.select(F.percentile_approx(F.col("id"), [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -106,14 +111,18 @@ def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per document its fingerprint, that of its edited text, and their likenesses; see ``op4_fingerprints``."""
     n, half = F.length("text"), (F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = in_order(docs, id_col=id_col, text_col=text_col).withColumn("edited", edited)
-    both = rows.select("part", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))
-    prints = saved(fingerprints(both.select("part", "place", "x.side", "x.text"), ["part", "place", "side"], samples=samples), "fingerprints")
-    info = rows.select("part", "place", "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "next_part", "next_place")
-    own = prints.where("side = 0").select("part", "place", F.col("s").alias("a"))
+    rows = in_order(docs, id_col=id_col, text_col=text_col).withColumn("edited", edited).withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
+    digest = [F.conv(F.substring("sha", 1 + 8 * i, 8), 16, 10).cast("long").alias(f"d{i}") for i in range(8)]  # as numbers
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x")
+    known = ["id", "n_chars", "next_part", "next_place", *(f"d{i}" for i in range(8))]
+    both = rows.select("part", "place", "id", "n_chars", "next_part", "next_place", *digest, sides).select("part", "place", *known, "x.side", "x.text")
+    prints = saved(fingerprints(both, ["part", "place", "side"], carry=known, samples=samples), "fingerprints")
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"d{i}")), 8, "0") for i in range(8)])
+    own = prints.where("side = 0").select("part", "place", "id", "n_chars", "next_part", "next_place", sha.alias("edited_sha256"), F.col("s").alias("a"))
     other = prints.where("side = 1").select("part", "place", F.col("s").alias("b"))
-    following = own.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("a").alias("c"))
-    out = info.join(own, ["part", "place"], "left").join(other, ["part", "place"], "left").join(following, ["next_part", "next_place"], "left")
+    following = prints.where("side = 0").select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("s").alias("c"))
+    out = own.join(other, ["part", "place"], "left").join(following, ["next_part", "next_place"], "left")
     return out.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
