@@ -232,3 +232,45 @@ def update_docs(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def remove_repo(docs: DataFrame, repo: str) -> DataFrame:
     return docs.where(F.col("repo") != repo)
+
+
+#: The columns that the concise form keeps, by tool, and those of each named field.
+CONCISE = {
+    "search_repos": ["repo", "stars", "star_tier", "license", "license_class", "activity", "what", "url"],
+    "search_code": ["repo", "probes_hit", "probe_breadth", "total_probes", "hit_files", "license_class", "path", "locator", "start_line", "end_line", "backends"],
+}
+FIELDS = {"what": ["what"], "catch": ["catch"], "license": ["license", "license_class"], "recency": ["last_release", "days_since_activity", "activity"], "stars": ["stars", "star_tier"], "urls": ["url"]}
+
+
+def concise(rows: DataFrame, tool: str) -> DataFrame:
+    """The concise projection of a tool's rows; tools without one keep all columns."""
+    keep = CONCISE.get(tool)
+    return rows if keep is None else rows.select(*[c for c in rows.columns if c in keep])
+
+
+def pick_fields(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``repo`` and the columns of the named fields, with ``fields_returned``."""
+    keep = {"repo"}.union(*(FIELDS.get(n, []) for n in names))
+    return rows.select(*[c for c in rows.columns if c in keep], F.array(*map(F.lit, names)).alias("fields_returned"))
+
+
+def repo_rows(repos: DataFrame) -> DataFrame:
+    """Repository rows with derived tiers, classes and addresses."""
+    return repos.withColumns({"star_tier": S.star_tier(F.col("stars")), "license_class": S.license_class(F.col("license")), "activity": S.activity(F.col("days_since_activity")), "url": F.concat(F.lit("https://github.com/"), "repo")})
+
+
+def match_repos(repos: DataFrame, phrases: str, *, topic: str | None = None, language: str | None = None, min_stars: int | None = None) -> DataFrame:
+    """Any of the ``;``-separated phrases in repo, what, catch or topics, and exact topic, language and minimum stars.
+
+    Without a phrase nothing matches.
+    """
+    hay = F.lower(F.concat_ws(" ", "repo", "what", "catch", F.array_join("topics", " ")))
+    wanted = [p.strip().lower() for p in phrases.split(";") if p.strip()]
+    keep = _any([hay.contains(p) for p in wanted]) if wanted else F.lit(False)
+    if topic is not None:
+        keep = keep & F.exists("topics", lambda t: F.lower(t) == topic.lower())
+    if language is not None:
+        keep = keep & (F.lower("language") == language.lower())
+    if min_stars is not None:
+        keep = keep & (F.col("stars") >= min_stars)
+    return repos.where(keep)

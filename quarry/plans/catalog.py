@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.operators import dedup, graph, rank, retrieval, search
+from quarry.operators import dedup, graph, rank, retrieval, search, semantic
 from quarry.plans.language import Query as TextQuery
+from quarry.sources import backends
 from quarry.sources.tables import blobs, docs_view, last_wins, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,6 +493,47 @@ def _(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("backend")).agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"))
 
 
+# -- backends, repositories, semantic search ------------------------------------------------------
+
+
+@_query("src_capabilities", "SELECT * FROM (VALUES ('grep.app'), ('sourcegraph')) t(backend)")
+def _(spark, d):
+    return backends.legs(spark, regex=True, filters=("language", "path"))
+
+
+@_query("src_repo_query", """SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN p_partkey % 3 > 0 THEN 'language:' || CASE WHEN contains(p_type, ' ') THEN '"' || p_type || '"' ELSE p_type END END, CASE WHEN p_size % 5 > 0 THEN 'stars:>=' || (p_size % 5) END) AS q FROM part""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", backends.repo_query(F.col("p_name"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")), F.col("p_size") % 5, F.lit(None).cast("string")).alias("q"))
+
+
+_REPOS = "(SELECT 'org/' || s_name AS repo, 'tool for ' || n_name AS what, 'none' AS catch, [r_name, 'cli'] AS topics, CASE WHEN s_suppkey % 2 = 0 THEN 'Rust' ELSE 'Go' END AS language, CAST(s_suppkey * 7 AS BIGINT) AS stars FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+@_query("flt_match_repos", f"SELECT repo, stars FROM {_REPOS} WHERE (contains(lower(concat_ws(' ', repo, what, catch, array_to_string(topics, ' '))), 'asia') OR contains(lower(what), 'france')) AND language = 'Rust' AND stars >= 50 AND len(list_filter(topics, lambda t: lower(t) = 'cli')) > 0")
+def _(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    repos = s.select(F.concat(F.lit("org/"), "s_name").alias("repo"), F.concat(F.lit("tool for "), "n_name").alias("what"), F.lit("none").alias("catch"), F.array("r_name", F.lit("cli")).alias("topics"), F.when(F.col("s_suppkey") % 2 == 0, "Rust").otherwise("Go").alias("language"), (F.col("s_suppkey") * 7).alias("stars"))
+    return search.match_repos(repos, "Asia; FRANCE", topic="CLI", language="rust", min_stars=50).select("repo", "stars")
+
+
+@_query("prj_fields", "SELECT 'org/part' || p_partkey AS repo, CAST(p_size * 300 AS BIGINT) AS stars, CASE WHEN p_size * 300 >= 10000 THEN 'high' WHEN p_size * 300 >= 500 THEN 'medium' ELSE 'low' END AS star_tier, 'https://github.com/org/part' || p_partkey AS url, 'stars,urls' AS fields_returned FROM part")
+def _(spark, d):
+    repos = table(spark, d, "part").select(F.concat(F.lit("org/part"), F.col("p_partkey").cast("string")).alias("repo"), (F.col("p_size") * 300).cast("long").alias("stars"), F.lit("MIT").alias("license"), F.lit(3).alias("days_since_activity"), F.lit("w").alias("what"))
+    return search.pick_fields(search.repo_rows(repos), ["stars", "urls"]).withColumn("fields_returned", F.array_join("fields_returned", ","))
+
+
+@_query("ve_chunk_search")
+def _(spark, d):
+    return semantic.search_chunks(semantic.index_source(_docs(spark, d)), "thtion of the erentan", 10).select("id", F.round("score", 6).alias("score"), "locator")
+
+
+@_query("hy_hybrid")
+def _(spark, d):
+    docs = _docs(spark, d)
+    return semantic.hybrid_search(docs, semantic.index_source(docs), "the thtion of erentan", PROBE).select("id", F.round("score", 9).alias("score"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.operators import dedup, graph, rank, retrieval, search
+from quarry.operators import dedup, graph, rank, retrieval, search, semantic
 from quarry.plans.language import Query
 from quarry.plans.tools import Tools, clean, cursor, envelope
-from quarry.sources import tables
+from quarry.sources import backends, tables
 from quarry.streaming import reindex as streams
 
 
@@ -177,3 +177,29 @@ def test_cooldowns(spark, tmp_path):
     q = streams.cooldowns(stream).writeStream.format("memory").queryName("cooldowns").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.backend, r.at, r.until) for r in spark.table("cooldowns").collect()} == {("x", 0.0, 60.0), ("x", 10.0, 60.0), ("x", 100.0, 3700.0), ("y", 5.0, 6.0)}
+
+
+def test_chunks_and_hybrid(spark):
+    source = "import os\n\n# doc\n@deco\ndef retry_backoff(x):\n    return x\n\nclass A:\n    def run(self):\n        return os\n"
+    docs = spark.createDataFrame([("r", "a.py", source), ("r", "broken.py", "def ("), ("r", "b.rs", "fn retry_backoff() {}\n" * 70)], "repo string, path string, content string")
+    got = {(r.path, r.kind, r.symbol, r.start_line, r.end_line) for r in semantic.chunks(docs).collect()}
+    assert got == {("a.py", "function", "retry_backoff", 3, 6), ("a.py", "class", "A", 8, 10), ("a.py", "method", "A.run", 9, 10), ("broken.py", "window", None, 1, 1), ("b.rs", "window", None, 1, 60), ("b.rs", "window", None, 51, 70)}
+    index = semantic.index_source(docs)
+    v = index.where("symbol = 'A.run'").first().embedding
+    assert len(v) == 256 and math.isclose(sum(x * x for x in v), 1.0, rel_tol=1e-5)
+    fused = semantic.hybrid_search(docs, index, "how does the retry work", "retry_backoff").collect()
+    assert fused[0].lex > 0 and fused[0].dense > 0
+    assert all(r.dense == 0 for r in semantic.hybrid_search(docs, index, "retry_backoff", "retry_backoff").collect())
+
+
+def test_backends(spark):
+    assert one(spark, backends.strip_delimiters(F.lit("/a.b/"))) == ("a.b", True) and one(spark, backends.strip_delimiters(F.lit("//"))) == ("//", False)
+    assert one(spark, backends.blob_url(F.lit(" https://github.com/o/r/blob/main/src/x.rs/ "))) == ("o/r", "src/x.rs", "https://github.com/o/r/blob/main/src/x.rs")
+    assert one(spark, backends.blob_url(F.lit("https://github.com/o/r/tree/x"))) is None
+    assert [one(spark, backends.line_no(F.lit(x))) for x in ("  12│ x", "7: y", "x 3", "44")] == [12, 7, None, None]
+    assert one(spark, backends.qualifier_value(F.lit(' a "b" '))) == '"a b"'
+    assert backends.rate_limit_wait({"retry-after": "99999"}, 0) == 3600 and backends.rate_limit_wait({"x-ratelimit-reset": "110"}, 100.5) == 10
+    assert backends.rate_limit_wait({"x-ratelimit-remaining": "3", "x-ratelimit-reset": "110"}, 100) is None
+    assert backends.is_rate_limited(403, {"retry-after": "1"}) and not backends.is_rate_limited(403, {})
+    repos = spark.createDataFrame([("a/b", "x", 1)], "repo string, what string, stars int")
+    assert search.concise(repos, "search_code").columns == ["repo"] and search.match_repos(repos.withColumn("topics", F.array(F.lit("t"))).withColumn("catch", F.lit("")), " ; ").count() == 0
