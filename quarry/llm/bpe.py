@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import kernels as K
 from .shared import table
 
-#: Words that a worker's memo holds before it starts again; about 150 bytes each.
+#: Words that a worker's memo holds before it starts again; about 60 bytes each.
 MEMO_WORDS = 1_000_000
 _NEVER = 1 << 40
 
@@ -98,7 +98,7 @@ class Codec:
 
     def _hash(self, keys: list[int], ranks: list[int]) -> None:
         """An open-addressing table of merges, for lookups of whole arrays."""
-        bits = max(8, (16 * len(keys)).bit_length())
+        bits = max(8, (4 * len(keys)).bit_length())
         self.shift, size = np.uint64(64 - bits), 1 << bits
         self.slot_key, self.slot_rank = np.full(size + 64, -1, np.int64), np.full(size + 64, _NEVER)
         self.probes = 1
@@ -354,21 +354,23 @@ class Codec:
         return flat, np.diff(np.concatenate(([0], at))[cut])
 
     def _slots(self, keys, check, begin, end, joined) -> np.ndarray:
-        """The memo's slots of words; unknown words are encoded. A full memo starts again."""
-        if len(self.memo) + len(keys) > MEMO_WORDS:
+        """The memo's slots of words (sorted hashes); unknown words are encoded. A full memo starts again."""
+        if self.words_known + len(keys) > MEMO_WORDS:
             self._forget()
-        get = self.memo.get
-        listed = keys.tolist()
-        slots = np.fromiter((get(k, -1) for k in listed), np.int64, len(listed))
-        new = np.flatnonzero(slots < 0)
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(0, len(self.keys) - 1))
+        known = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        slots = np.where(known, self.slot_of[near], -1) if len(self.keys) else np.full(len(keys), -1)
+        new = np.flatnonzero(~known)
         if len(new):
             flat, sizes = self.encode_words([joined[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
-            base, used = len(self.memo), self.used
+            base, used = self.words_known, self.used
             slots[new] = np.arange(base, base + len(new))
-            self.memo.update(zip(keys[new].tolist(), range(base, base + len(new)), strict=True))
+            self.keys, self.slot_of = np.insert(self.keys, at[new], keys[new]), np.insert(self.slot_of, at[new], slots[new])
+            self.words_known += len(new)
             while used + len(flat) > len(self.store):
                 self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-            while base + len(new) > len(self.begin):
+            while self.words_known > len(self.begin):
                 self.begin, self.count, self.check = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.check))
             self.store[used : used + len(flat)] = flat
             own = slice(base, base + len(new))
@@ -377,8 +379,8 @@ class Codec:
         return slots
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}  # hash of a word: slot
-        self.used = 0
+        self.keys, self.slot_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of known words, ascending, and their slots
+        self.words_known = self.used = 0
         self.store = np.zeros(1 << 16, np.uint32)
         self.begin, self.count, self.check = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.uint64)
 
@@ -424,6 +426,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
                 ids, n = c.encode(batch.column(at).to_pylist())
                 arr = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, arr], names=[*batch.schema.names, ids_col])
+        K.trim()
 
     return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, (ids_col, "array<int>")]))
 
@@ -440,6 +443,7 @@ def decode(docs: DataFrame, *, ids_col: str = "ids", path: str | None = None, te
         for batch in batches:
             texts = [c.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+        K.trim()
 
     return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, (text_col, "string")]))
 
@@ -464,6 +468,7 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     ],
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        K.trim()
 
     return docs.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -134,6 +134,7 @@ def band_keys(texts: DataFrame, *, bands: int = BANDS, rows: int = ROWS, shingle
                     keys = K.mix(keys + sig[:, j::rows])
                 own = np.repeat(tid[lo:hi][has], bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[has].ravel().view(np.int64)), pa.array(own)], names=["key", "tid"])
+        K.trim()
 
     return texts.select("tid", "text").mapInArrow(run, "key bigint, tid bigint")
 
@@ -169,6 +170,7 @@ def verify(pairs: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD,
                 terms = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 counts = [w[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names=["tid", "terms", "counts"])
+        K.trim()
 
     prof = saved(texts.select("tid", "text").mapInArrow(profile, "tid bigint, terms binary, counts binary"), "shingles")
     left = prof.select(F.col("tid").alias("a"), F.col("terms").alias("ta"), F.col("counts").alias("ca"))

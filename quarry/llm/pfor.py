@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .bpe import chunks, codec, default_path
 from .shared import open_fs, saved, scratch, table
 
@@ -169,6 +170,7 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
         if writer is not None:
             writer.close()
             ids = pa.concat_arrays(ids_seen)
+            K.trim()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([uri]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([writer.n], pa.int64())], names=["part", "file", "ids", "n_tokens"])
 
     manifest = saved(ordered.mapInArrow(run, f"part bigint, file string, ids array<{id_type}>, n_tokens bigint"), "token-manifest")
