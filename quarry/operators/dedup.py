@@ -23,11 +23,20 @@ def token_hash(toks: Column) -> Column:
     return F.sha2(F.array_join(F.transform(toks, lambda t: F.concat(t, F.lit("\x1f"))), "").cast("binary"), 256)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once; inside a lambda a plain expression would be evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(toks: Column) -> Column:
     """Distinct hashes of five-token windows; one to four tokens are one shingle."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(toks) - SHINGLE, F.lit(0)))
-    many = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(toks, i + 1, SHINGLE), " ")))
-    return F.when(F.size(toks) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(many))
+
+    def windows(t):
+        at = F.sequence(F.lit(0), F.greatest(F.size(t) - SHINGLE, F.lit(0)))
+        many = F.transform(at, lambda i: F.xxhash64(*(F.get(t, i + j) for j in range(SHINGLE))))
+        return F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(many))
+
+    return _let(toks, windows)
 
 
 _RNG = np.random.default_rng(20240101)
@@ -76,6 +85,10 @@ def classify(docs: DataFrame, seq: str = "doc_id") -> DataFrame:
     base = base.select("seq", "hash", token_hash(F.col("toks")).alias("thash"), F.size("toks").alias("n"), shingles(F.col("toks")).alias("sh"))
     first = base.groupBy("hash").agg(F.min("seq").alias("first"))
     base = base.join(first, "hash")
+    if base.sparkSession.sparkContext.getCheckpointDir() is None and (root := base.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        base.sparkSession.sparkContext.setCheckpointDir(root)
+    if base.sparkSession.sparkContext.getCheckpointDir() is not None:
+        base = base.checkpoint()  # every tier reads it; without a shared folder each tier computes it again
     exact = base.where("seq > first").select("seq", F.lit("exact").alias("kind"), F.col("hash").alias("of"), F.lit(None).cast("double").alias("similarity"))
     rest = base.where("seq = first")
     tfirst = rest.groupBy("thash").agg(F.min("seq").alias("tfirst"), F.min_by("hash", "seq").alias("thead"))
@@ -122,7 +135,11 @@ def normalize_license(text: Column) -> Column:
 
 
 def char_trigrams(text: Column) -> Column:
-    return F.when(F.length(text) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))))
+    def grams(t):
+        at = F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1)))
+        return F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.substring(t, i, F.lit(3)))))
+
+    return _let(text, grams)
 
 
 def match_licenses(texts: DataFrame, licenses: DataFrame) -> DataFrame:
