@@ -335,6 +335,33 @@ def test_near_duplicates_against_brute_force(spark, texts):
     assert {r.doc_id: r.class_id for r in minhash.op7_near_dedup(spark, DATA).collect()} == {i: root(i) for i in ids}
 
 
+def edited(base, edits):
+    out = list(base)
+    for i in random.sample(range(len(out)), edits):
+        out[i] = f"e{random.randint(0, 10**9)}"
+    return " ".join(out)
+
+
+def test_one_original_and_a_thousand_near_copies(spark):
+    random.seed(11)
+    base = [f"w{random.randint(0, 10**6)}" for _ in range(400)]
+    rows = [(0, " ".join(base)), *((i, edited(base, 5 + i % 4)) for i in range(1, 1001))]
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert {(r.class_id, r.class_size) for r in got.values()} == {(0, 1001)}
+    assert got[0].n_links == 1000 and all(r.n_links >= 1 for r in got.values())
+
+
+def test_overlaps_equal_the_sums_of_smaller_weights():
+    rng = np.random.default_rng(3)
+    bags = [(np.sort(rng.choice(90, rng.integers(0, 60), replace=False)).astype(np.uint64), None) for _ in range(40)]
+    bags = [(h, rng.choice([1, 1, 1, 2, 7, 30000], len(h)).astype("<u4")) for h, _ in bags]
+    low = minhash._overlaps([h for h, _ in bags], [w for _, w in bags], 15)
+    for i in range(15):
+        for j in range(25):
+            x, y = (dict(zip(h.tolist(), w.tolist(), strict=True)) for h, w in (bags[i], bags[15 + j]))
+            assert low[i, j] == sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+
+
 def test_components(spark):
     random.seed(2)
     links = [(random.randint(0, 400), random.randint(0, 400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1100)]
