@@ -351,6 +351,13 @@ def test_one_original_and_a_thousand_near_copies(spark):
     assert got[0].n_links == 1000 and all(r.n_links >= 1 for r in got.values())
 
 
+def test_links_of_a_large_group(spark):
+    random.seed(12)
+    base = [f"w{random.randint(0, 10**6)}" for _ in range(300)] * 2
+    rows = [(i, edited(base, 1 + i % 2)) for i in range(900)]
+    assert {(r.class_size, r.n_links) for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {(900, 899)}
+
+
 def test_overlaps_equal_the_sums_of_smaller_weights():
     rng = np.random.default_rng(3)
     bags = [(np.sort(rng.choice(90, rng.integers(0, 60), replace=False)).astype(np.uint64), None) for _ in range(40)]
