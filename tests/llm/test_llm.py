@@ -256,6 +256,26 @@ def test_fuzzy_passages(spark):
     assert chaining.cut(frame(spark, EDGES)).count() == len(EDGES)
 
 
+def test_spans_of_many_partners_are_all_kept(spark):
+    rows = [(1, 1000 - 10 * i, 1005 - 10 * i, 2 + i, 0, 5, 5) for i in range(100)]
+    found = spark.createDataFrame(rows, "a long, a_start long, a_end long, b long, b_start long, b_end long, matched long")
+    assert sorted((r.s, r.e) for r in chaining.text_spans(found).where("t = 1").collect()) == sorted((x[1], x[2]) for x in rows)
+
+
+def test_passages_of_frequent_lines(spark):
+    random.seed(6)
+    new = lambda k: [f"x{random.randint(0, 10**6)}" for _ in range(k)]
+    rows, pairs = [], []
+    for _ in range(12):
+        x, y = new(30), new(30)
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [new(80) + x + y + new(80) for _ in range(2)]
+        rows += [new(80) + line + new(80) for line in (x, y) for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {(r.doc_id, r.partner_id) for r in chaining.repeated_passages(frame(spark, rows)).collect() if r.start_word <= 80 and r.end_word >= 140}
+    assert got == {p for a, b in pairs for p in ((a, b), (b, a))}
+
+
 # -- 6
 
 
