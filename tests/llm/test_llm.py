@@ -256,6 +256,19 @@ def test_fuzzy_passages(spark):
     assert chaining.cut(frame(spark, EDGES)).count() == len(EDGES)
 
 
+def test_wide_gaps_are_compared_exactly():
+    rng = np.random.default_rng(8)
+    for n, m, kinds in [(0, 5, 3), (5, 0, 3), (70, 65, 9), (250, 260, 40), (300, 220, 5000)]:
+        x, y = rng.integers(0, kinds, n), rng.integers(0, kinds, m)
+        row = [0] * (m + 1)
+        for v in x.tolist():
+            last = 0
+            for j, u in enumerate(y.tolist(), 1):
+                last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
+        assert chaining._common(x, y) == row[m]
+    assert chaining._common(np.arange(250) % 50, np.arange(250) % 50) == 250
+
+
 def test_spans_of_many_partners_are_all_kept(spark):
     rows = [(1, 1000 - 10 * i, 1005 - 10 * i, 2 + i, 0, 5, 5) for i in range(100)]
     found = spark.createDataFrame(rows, "a long, a_start long, a_end long, b long, b_start long, b_end long, matched long")
