@@ -33,8 +33,8 @@ NAMES = [
     ("agpl-3", "agpl", "(?:gnu )?agpl ?(?:version |v)?3(?: 0)?", True), ("agpl-3", "affero", "gnu affero general public license(?: version| v) ?3", True), ("gfdl-1.3", "gfdl", "(?:gnu )?gfdl ?(?:version |v)?1 3", True), ("gfdl-1.3", "documentation", "gnu free documentation license(?: version| v) ?1 3", True),
     ("mpl-1.1", "mpl", "mpl ?(?:version |v)?1 1", True), ("mpl-2", "mpl", "mpl ?(?:version |v)?2(?: 0)?", True), ("mpl-2", "mozilla", "mozilla public license(?: version| v) ?2", True), ("epl-1", "eclipse", "eclipse public license(?: version| v)? ?1", True), ("epl-2", "eclipse", "eclipse public license(?: version| v)? ?2", True),
     ("cddl-1", "cddl", "cddl ?1 ?0?", True), ("artistic-1", "artistic", "artistic license 1(?: 0)?", True), ("artistic-2", "artistic", "artistic license 2(?: 0)?", True), ("unlicense", "unlicense", "unlicense", True), ("wtfpl", "wtfpl", "wtfpl", True), ("bsl-1", "boost", "boost software license(?: version)? 1", True),
-    ("python-2", "python", "(?:python software foundation|psf)(?: license version 2)?", False), ("php-3", "php", "php(?: license version)? 3", False), ("openssl", "openssl", "openssl", False), ("ms-pl", "microsoft", "microsoft public", False), ("ms-rl", "microsoft", "microsoft reciprocal", False), ("eupl-1.2", "eupl", "eupl ?(?:v)?1 2", True),
-    ("osl-3", "osl", "(?:osl|open software license) 3", True), ("afl-3", "academic", "academic free license(?: version)? 3", True), ("cc0-1", "cc0", "cc0(?: 1 0)?", True), ("cc-by", "cc", "cc by(?! n[cd] | sa )(?: [1-4] [05])?", True), ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?", True), ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?", True), ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?", True),
+    ("python-2", "python", "python software foundation(?: license version 2)?", False), ("python-2", "psf", "psf(?: license version 2)?", False), ("php-3", "php", "php(?: license version)? 3", False), ("openssl", "openssl", "openssl", False), ("ms-pl", "microsoft", "microsoft public", False), ("ms-rl", "microsoft", "microsoft reciprocal", False), ("eupl-1.2", "eupl", "eupl ?(?:v)?1 2", True),
+    ("osl-3", "osl", "osl 3", True), ("osl-3", "open", "open software license 3", True), ("afl-3", "academic", "academic free license(?: version)? 3", True), ("cc0-1", "cc0", "cc0(?: 1 0)?", True), ("cc-by", "cc", "cc by(?! n[cd] | sa )(?: [1-4] [05])?", True), ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?", True), ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?", True), ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?", True),
     ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?", True), ("cc-by", "creative", "creative commons attribution(?: [1-4] [05])?", True), ("cc-by-sa", "creative", "creative commons attribution share ?alike(?: [1-4] [05])?", True), ("cc-by-nc", "creative", "creative commons attribution non ?commercial(?: [1-4] [05])?", True), ("odbl-1", "odbl", "odbl(?: 1 0)?", True),
     ("ofl-1.1", "ofl", "(?:sil )?ofl(?: 1 1)?", False), ("elastic-2", "elastic", "elastic(?: license)? 2(?: 0)?", False), ("sspl-1", "sspl", "sspl(?: v?1)?", True), ("busl-1.1", "busl", "busl(?: 1 1)?", True),
 ]
@@ -51,9 +51,21 @@ PHRASES = [
 ]
 
 
+#: (confidence, label, keyword, pattern): sentences of license bodies.
+BODIES = [
+    (0.9, "mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
+    (0.9, "bsl-1", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    (0.9, "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (0.9, "isc", "permission", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    (0.9, "gnu", "everyone", "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    (0.9, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+]
+
+
 def rules() -> list[tuple[int, float, str, str, str, bool]]:
     """(priority, confidence, label, keyword, pattern, base) of every rule, in order of precedence."""
     out = [(0, 0.9, label, phrase.split()[0], phrase, True) for phrase, label in BASE]
+    out += [(1, confidence, label, keyword, pattern, False) for confidence, label, keyword, pattern in BODIES]
     for priority, confidence, phrase in PHRASES:
         for label, keyword, name, alone in NAMES:
             if priority < 6 or alone:
@@ -64,7 +76,8 @@ def rules() -> list[tuple[int, float, str, str, str, bool]]:
 #: Any of these is in every text that a rule can match; the prefilter sees raw texts.
 _W, _N = r"[0-9A-Za-z\x80-\x{10FFFF}]", r"[^0-9A-Za-z\x80-\x{10FFFF}]+"
 PREFILTER = (
-    rf"(?i)(?<!{_W})(?:(?:un)?licen[cs]|spdx{_N}|(?:gnu{_N})?[al]?gpl|gnu{_N}|apache{_N}|(?:free|0)?bsd{_N}|mpl|mozilla{_N}|cddl|wtfpl|eupl|osl{_N}|cc0|odbl|sspl|busl|gfdl|mit{_N}(?:no{_N}att|0)|creative{_N}commons|cc{_N}by"
+    rf"(?i)(?<!{_W})(?:(?:un)?licen[cs]|spdx{_N}|(?:gnu{_N})?[al]?gpl|gnu{_N}|apache|(?:free|0)?bsd|mpl|mozilla{_N}|cddl|wtfpl|eupl|osl{_N}|cc0|odbl|sspl|busl|gfdl|mit{_N}(?:no{_N}att|0)|creative{_N}commons|cc{_N}by"
+    rf"|permission{_N}(?:is{_N}hereby|to{_N}use)|redistribution{_N}and{_N}use|everyone{_N}is{_N}permitted|free{_N}and{_N}unencumbered"
     rf"|(?:2|3|4|new|revised|modified|simplified|original|zero){_N}(?:clause{_N})?bsd|(?:under|to){_N}(?:the{_N})?(?:(?:terms|conditions){_N}(?:and{_N}|of{_N})"
     rf"|(?:mit|x11|isc|ncsa|university{_N}of|zlib|postgresql|eclipse|artistic|boost|python|psf|php|openssl|microsoft|open{_N}software|academic|sil|ofl|elastic)(?!{_W})))"
 )

@@ -453,6 +453,38 @@ def test_license_rules_pass_the_prefilter(spark):
     assert [r.text for r in out.collect()] == []
 
 
+def rule_example(pattern, last):
+    """A text that a rule matches, by the first or the last of each choice."""
+
+    def of(tokens):
+        out = ""
+        for op, arg in tokens:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "IN":
+                out += chr(arg[-1 if last else 0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][last])
+            elif kind == "MAX_REPEAT":
+                out += of(arg[2]) * arg[1 if last else 0]
+            elif kind == "SUBPATTERN":
+                out += of(arg[-1])
+            elif kind == "BRANCH":
+                out += of(arg[1][-1 if last else 0])
+            else:
+                assert kind == "ASSERT_NOT"
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_license_rule_alone_and_at_the_end(spark):
+    examples = {rule_example(r[4], last) for r in licenses.rules() for last in (False, True)}
+    assert all(any(re.fullmatch(r[4], e) for r in licenses.rules()) for e in examples)
+    rows = list(enumerate([*examples, *(f"words before {e}" for e in examples), "apache2", "ApacheV2", "see FreeBSD", "0BSD"]))
+    out = licenses.scan(frame(spark, rows)).where(F.size("detections") == 0)
+    assert [r.text for r in out.collect()] == []
+
+
 # -- 10
 
 
