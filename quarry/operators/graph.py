@@ -28,38 +28,49 @@ def out_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, *, seeds: list[int] | None = None, damping: float = DAMPING, iterations: int = 10, tol: float | None = None, checkpoint_every: int = 4) -> tuple[DataFrame, int, bool]:
     """((id, rank), iterations run, converged). With seeds the surfer restarts at them, else anywhere.
 
-    r' = (1 - d) v + d (M r + dangling v), dangling = 1 - sum(M r), starting from v. The ranks are checkpointed every
-    few rounds, so lineage stays short and a lost executor costs those rounds at most.
+    r' = (1 - d) v + d (M r + dangling v), dangling = 1 - sum(M r), starting from v. Ranks sum to one, so the dangling part is the
+    rank of the nodes without links. Links stay partitioned by source for all rounds, each round's ranks are computed once, and every
+    few rounds they are checkpointed, so lineage stays short and a lost executor costs those rounds at most.
     """
     spark = nodes.sparkSession
     ids = nodes.select("id").distinct()
     wanted = sorted(set(seeds or []))
-    if wanted:
-        v = ids.withColumn("v", F.when(F.col("id").isin(wanted), 1.0).otherwise(0.0))
-        total = v.agg(F.sum("v")).first()[0] or 0.0
-        v = v.withColumn("v", F.col("v") / total) if total else ids.withColumn("v", F.lit(1.0 / max(1, ids.count())))
-    else:
-        v = ids.withColumn("v", F.lit(1.0 / max(1, ids.count())))
-    links = edges.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("w"))
+    count = ids.count()
+    known = ids.where(F.col("id").isin(wanted)).count() if wanted else 0
+    v = F.when(F.col("id").isin(wanted), 1.0 / known).otherwise(0.0) if known else F.lit(1.0 / max(1, count))
+    out = edges.groupBy("src").agg(F.count("*").alias("out"))
+    nodes_ = ids.withColumn("v", v).join(out.withColumnRenamed("src", "id"), "id", "left").persist()
+    links = edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("w")).repartition("src").persist()
     if iterations > checkpoint_every and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    if iterations > checkpoint_every:
-        links, v = links.checkpoint(), v.checkpoint()
-    rank, done, converged = v.select("id", F.col("v").alias("r")), 0, False
+    rank, done, converged = nodes_.select("id", F.col("v").alias("r"), F.col("out").isNull().alias("ends")).persist(), 0, False
     while done < iterations and not converged:
-        flow = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("m"))
-        sums = flow.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("s"))
-        step = v.join(flow, "id", "left").join(F.broadcast(sums))  # one row on the right
-        m = F.coalesce("m", F.lit(0.0))
-        new = step.select("id", (F.col("v") * (1 - damping) + (m + F.col("v") * (F.lit(1.0) - F.col("s"))) * damping).alias("r"))
+        flow = links.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("m"))
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("r"))), F.lit(0.0)).alias("s")).first()[0]
+        r = F.col("v") * (1 - damping) + (F.coalesce("m", F.lit(0.0)) + F.col("v") * lost) * damping
+        new = nodes_.join(flow, "id", "left").select("id", r.alias("r"), F.col("out").isNull().alias("ends"))
         done += 1
-        if tol is not None or done % checkpoint_every == 0 and done < iterations:
-            new = new.checkpoint()
+        new = new.checkpoint() if done % checkpoint_every == 0 and done < iterations else new.persist()
         if tol is not None:
-            delta = new.join(rank.withColumnRenamed("r", "old"), "id").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
+            delta = new.join(rank.select("id", F.col("r").alias("old")), "id").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
             converged = delta < tol
         rank = new
-    return rank, done, converged
+    return rank.select("id", "r"), done, converged
+
+
+def neighbours(edges: DataFrame, node: int) -> DataFrame:
+    """The nodes that ``node`` depends on."""
+    return edges.where(F.col("src") == node).select(F.col("dst").alias("id"))
+
+
+def scores_of(ranks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, r) of the wanted nodes; 0 where a node has no rank."""
+    return wanted.select("id").join(ranks, "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("r"))
+
+
+def total_of(ranks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sum of the ranks of the wanted nodes."""
+    return scores_of(ranks, wanted.select("id").distinct()).agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("total"))
 
 
 def pagerank_sql(nodes: str, edges: str, iterations: int, seeds: list[int] | None = None, damping: float = DAMPING) -> str:
