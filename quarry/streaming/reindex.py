@@ -17,22 +17,24 @@ DEFAULT_COOLDOWN, MAX_COOLDOWN = 60.0, 3600.0
 def reindex(spark: SparkSession, landing: str, store: str, checkpoint: str, schema: str) -> StreamingQuery:
     """Applies changed documents (repo, path, content, seq) from ``landing`` to the store, the latest seq winning.
 
+    The store keeps (repo, path, content, seq, deleted): documents that may not be indexed, or whose content is null, stay as
+    deleted rows without content, so that older changes which arrive late do not bring them back. ``read_store`` leaves them out.
     Each batch rewrites only the partitions (repos) it touches. A batch that runs again gives the same store.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
         latest = Window.partitionBy("repo", "path").orderBy(F.desc("seq"))
-        changed = batch.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn").persist()
+        admitted = F.coalesce(S.admitted(F.col("content")), F.lit(False))
+        changed = batch.withColumn("deleted", ~admitted).withColumn("content", F.when(admitted, F.col("content"))).persist()
         try:
-            touched = changed.select("repo").distinct()
+            both = changed
             try:
-                old = spark.read.schema(changed.schema).parquet(store).join(F.broadcast(touched), "repo", "left_semi")
-                both = old.unionByName(changed).withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn")
+                touched = changed.select("repo").distinct()
+                both = spark.read.schema(changed.schema).parquet(store).join(touched, "repo", "left_semi").unionByName(changed)
             except Exception as e:  # noqa: BLE001 - the first batch finds no store
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
-                both = changed
-            keep = both.where(S.admitted(F.col("content"))).select(*changed.columns).checkpoint()
+            keep = both.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").select(*changed.columns).checkpoint()
             keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(store)
         finally:
             changed.unpersist()
@@ -41,6 +43,37 @@ def reindex(spark: SparkSession, landing: str, store: str, checkpoint: str, sche
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The documents of a store that are not deleted."""
+    return spark.read.parquet(store).where("NOT deleted").drop("deleted")
+
+
+def parse_stream(chunks: DataFrame) -> DataFrame:
+    """Streaming (request, seq, chunk) to (request, idx, event, data), event by event as they are complete.
+
+    The state of a request is its unfinished tail and the number of events so far. Within a batch chunks are taken by seq.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state):
+        tail, idx = state.get if state.exists else ("", 0)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        text = (tail + "".join(rows["chunk"])).replace("\r\n", "\n")
+        *whole, tail = text.split("\n\n")
+        out = []
+        for raw in whole:
+            lines = raw.split("\n")
+            value = lambda name: [x[len(name) + 1 :].removeprefix(" ") for x in lines if x.startswith(name + ":")]  # noqa: B023, E731
+            event, data = (value("event") or ["message"])[0], "\n".join(value("data"))
+            if data or event != "message":
+                out.append((key[0], idx, event, data))
+            idx += 1
+        state.update((tail, idx))
+        yield pd.DataFrame(out, columns=["request", "idx", "event", "data"])
+
+    kind = chunks.schema["request"].dataType.simpleString()
+    return chunks.groupBy("request").applyInPandasWithState(update, f"request {kind}, idx long, event string, data string", "tail string, idx long", "append", "NoTimeout")
+
+
 def parse_events(chunks: DataFrame) -> DataFrame:
     """Server-sent events of (request, seq, chunk): (request, idx, event, data). An unfinished last event is left out.
 
@@ -74,7 +107,7 @@ def cooldowns(limits: DataFrame) -> DataFrame:
     return limits.groupBy("backend").applyInPandasWithState(update, "backend string, at double, until double", "until double", "append", "NoTimeout")
 
 
-def permit_gaps(permits: DataFrame, per_minute: float) -> DataFrame:
+def permit_gaps(permits: DataFrame, per_minute: float, tie: str = "at") -> DataFrame:
     """(backend, at, gap, early): whether a permit came sooner after the last one than the even spacing allows."""
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy("backend").orderBy("at"))
-    return permits.select("backend", "at", gap.alias("gap"), F.coalesce(gap < 60.0 / per_minute - 1e-9, F.lit(False)).alias("early"))
+    gap = F.col("at") - F.lag("at").over(Window.partitionBy("backend").orderBy("at", tie))
+    return permits.select("*", gap.alias("gap"), F.coalesce(gap < 60.0 / per_minute - 1e-9, F.lit(False)).alias("early"))
