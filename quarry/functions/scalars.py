@@ -34,8 +34,8 @@ def rejection(content: Column, entropy: Column) -> Column:
 
 def lines_of(content: Column) -> Column:
     """Lines without their ends; no empty line after the last end."""
-    parts = F.split(content, "\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    kept = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return F.transform(F.array(F.split(content, "\r?\n", -1)), kept)[0]  # split once
 
 
 def license_class(name: Column) -> Column:

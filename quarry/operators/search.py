@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import scalars as S
-from quarry.plans.language import Query
+from quarry.plans.language import Query, required_literals
 
 MAX_RESULTS, PROBE_CAP = 50, 500
 _WORDCHAR = "[A-Za-z0-9_]"
@@ -35,34 +41,52 @@ def allows(*, repos=(), exclude_repos=(), langs=(), exclude_langs=(), paths=(),
 
 
 def _java(q: Query) -> str:
-    """The pattern for Java, with Unicode classes and cases."""
+    """The pattern for Java, with Unicode classes and cases, and no line ends but ``\\n``."""
     body = q.pattern if q.kind == "regex" else re.escape(q.pattern)
-    return ("(?iuU)" if q.case == "insensitive" else "(?U)") + body
+    return ("(?diuU)" if q.case == "insensitive" else "(?dU)") + body
 
 
-def candidates(docs: DataFrame, q: Query) -> DataFrame:
-    """Admitted documents that pass the filters, and a cheap superset of the matches for literals."""
+def candidates_test(q: Query) -> Column:
+    """Whether a document is admitted, passes the filters and may match: it holds every literal that the pattern requires.
+
+    The test looks at whole contents, so it never uses the pattern itself: its anchors would mean something else there.
+    """
     keep = S.admitted(F.col("content")) & allows(repos=q.repos, exclude_repos=q.exclude_repos, langs=q.langs, exclude_langs=q.exclude_langs, paths=q.paths, exclude_paths=q.exclude_paths)
     if q.content_scope == "test":
         keep = keep & F.lower("path").rlike("test|spec")
-    return docs.where(keep)
+    text = F.col("content") if q.case == "sensitive" else F.lower(F.translate("content", "\u017f\u212a", "sk"))  # both match s and k in any case
+    for literal in required_literals(q):
+        keep = keep & text.contains(literal if q.case == "sensitive" else literal.lower())
+    return keep
 
 
-def line_matches(docs: DataFrame, q: Query) -> DataFrame:
-    """One row per matching line: repo, path, line_no, line (whole), n_spans, n_word_spans."""
-    q.validate()
-    pattern = _java(q)
-    if q.kind == "literal":
-        text = F.col("content") if q.case == "sensitive" else F.lower("content")
-        may = text.contains(q.pattern if q.case == "sensitive" else q.pattern.lower())
-    else:
-        may = F.col("content").rlike(pattern)
-    lines = candidates(docs, q).where(may).select("repo", "path", F.posexplode(S.lines_of(F.col("content"))).alias("i", "line"))
+def _hits(lines: Column, q: Query) -> Column:
+    """(line_no, line, n_spans, n_word_spans) of the lines that match."""
+    pattern = _java(q.validate())
     flags = re.match(r"\(\?\w+\)", pattern)[0]
     bounded = f"{flags}(?<!{_WORDCHAR})(?:{pattern[len(flags) :]})(?!{_WORDCHAR})"
-    hit = lines.where(F.col("line").rlike(pattern))
-    spans, own = F.regexp_count("line", F.lit(pattern)), F.regexp_count("line", F.lit(bounded))
-    return hit.select("repo", "path", (F.col("i") + 1).cast("long").alias("line_no"), "line", spans.cast("long").alias("n_spans"), own.cast("long").alias("n_word_spans"))
+    count = lambda x, p: F.regexp_count(x, F.lit(p)).cast("long")
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line")))
+    found = F.filter(numbered, lambda x: x["line"].rlike(pattern))
+    return F.transform(found, lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), count(x["line"], pattern).alias("n_spans"), count(x["line"], bounded).alias("n_word_spans")))
+
+
+def matched(docs: DataFrame, queries: list[Query]) -> DataFrame:
+    """Matching documents, one row per query and document: query (its number), repo, path, and hits: (line_no, line, n_spans, n_word_spans) per line.
+
+    All lines are tested within the row of their document, and all queries in one scan: nothing is shuffled.
+    """
+    hits = [F.when(F.col(f"may{k}"), F.struct(F.lit(k).alias("query"), _hits(F.col("all"), q).alias("hits"))) for k, q in enumerate(queries)]
+    may = [candidates_test(q) for q in queries]
+    rows = docs.select("repo", "path", "content", *[m.alias(f"may{k}") for k, m in enumerate(may)]).where(_any([F.col(f"may{k}") for k in range(len(queries))]))
+    rows = rows.select("repo", "path", *[f"may{k}" for k in range(len(queries))], S.lines_of(F.col("content")).alias("all"))
+    each = rows.select("repo", "path", F.explode(F.array(*hits)).alias("x")).where("x IS NOT NULL")
+    return each.select("x.query", "repo", "path", "x.hits").where(F.size("hits") > 0)
+
+
+def line_matches(docs: DataFrame, q: Query) -> DataFrame:
+    """One row per matching line: repo, path, line_no, line (whole), n_spans, n_word_spans."""
+    return matched(docs, [q]).select("repo", "path", F.explode("hits").alias("x")).select("repo", "path", "x.*")
 
 
 def score_columns(q: Query, n_lines: Column, any_word: Column, any_exact: Column) -> dict[str, Column]:
@@ -83,16 +107,28 @@ def score_columns(q: Query, n_lines: Column, any_word: Column, any_exact: Column
 
 def scored(docs: DataFrame, q: Query) -> DataFrame:
     """One row per matching document: components, score (6 places), matched_lines, matches (line_no, text cut at 500)."""
-    hits = line_matches(docs, q)
-    exact = F.col("line").contains(q.pattern) & F.lit(q.kind == "literal")
-    text = F.when(F.octet_length("line") > S.MAX_LINE, F.concat(F.left("line", F.lit(S.MAX_LINE)), F.lit("…"))).otherwise(F.col("line"))
-    docs_ = hits.groupBy("repo", "path").agg(
-        F.count("*").alias("matched_lines"), F.bool_or(F.col("n_spans") == F.col("n_word_spans")).alias("w"), F.bool_or(exact).alias("x"),
-        F.sort_array(F.collect_list(F.struct("line_no", text.alias("text")))).alias("matches"),
+    return _scores(matched(docs, [q]), [q]).drop("query")
+
+
+def _has(text: str):
+    return lambda x: x["line"].contains(text)
+
+
+def _scores(found: DataFrame, queries: list[Query]) -> DataFrame:
+    """Scores of ``matched`` documents, within the row."""
+    any_word = F.exists("hits", lambda x: x["n_spans"] == x["n_word_spans"])
+    cut = lambda x: F.when(F.octet_length(x) > S.MAX_LINE, F.concat(F.left(x, F.lit(S.MAX_LINE)), F.lit("…"))).otherwise(x)
+    parts: dict[str, Column] = {}
+    for k, q in enumerate(queries):
+        exact = F.exists("hits", _has(q.pattern)) & F.lit(q.kind == "literal")
+        for name, c in score_columns(q, F.size("hits"), any_word, exact).items():
+            parts[name] = F.when(F.col("query") == k, c).otherwise(parts[name]) if k else c
+    total = reduce(lambda a, b: a + b, [F.col(f"_{n}") for n in parts])
+    out = found.select("*", *[c.alias(f"_{n}") for n, c in parts.items()])
+    return out.select(
+        "query", "repo", "path", F.size("hits").cast("long").alias("matched_lines"), *[F.round(f"_{n}", 6).alias(n) for n in parts], F.round(total, 6).alias("score"),
+        F.transform("hits", lambda x: F.struct(x["line_no"].alias("line_no"), cut(x["line"]).alias("text"))).alias("matches"),
     )
-    parts = score_columns(q, F.col("matched_lines"), F.col("w"), F.col("x"))
-    total = reduce(lambda a, b: a + b, parts.values())
-    return docs_.select("repo", "path", "matched_lines", *[F.round(c, 6).alias(n) for n, c in parts.items()], F.round(total, 6).alias("score"), "matches")
 
 
 def top(found: DataFrame, k: int = MAX_RESULTS) -> DataFrame:
@@ -110,9 +146,11 @@ def multi_probe(docs: DataFrame, probes: list[str], *, cap: int = PROBE_CAP) ->
     """(probe_idx, probe, repo, path, score, matched_lines, matches): the best ``cap`` documents of each probe."""
     if not 1 <= len(probes) <= 5:
         raise ValueError("1 to 5 probes are allowed")
-    legs = [scored(docs, parse_probe(p)).select(F.lit(i).alias("probe_idx"), F.lit(p).alias("probe"), "repo", "path", "score", "matched_lines", "matches") for i, p in enumerate(probes)]
-    w = Window.partitionBy("probe_idx").orderBy(F.desc("score"), "path", "repo")
-    return reduce(DataFrame.union, legs).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
+    queries = [parse_probe(p) for p in probes]
+    found = _scores(matched(docs, queries), queries)  # one scan for all probes
+    w = Window.partitionBy("probe_idx").orderBy(F.desc("score"), "path", "repo")  # each task keeps its own best before the shuffle
+    rows = found.select(F.col("query").alias("probe_idx"), F.element_at(F.array(*map(F.lit, probes)), F.col("query") + 1).alias("probe"), "repo", "path", "score", "matched_lines", "matches")
+    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
 
 
 def merge_probes(hits: DataFrame) -> DataFrame:
@@ -180,6 +218,12 @@ def profiles(docs: DataFrame) -> DataFrame:
     )
 
 
+def find_repo(docs: DataFrame, repo: str) -> DataFrame:
+    """The repository of this name, exactly, else the first by name that differs in case only; no row if there is none."""
+    same = docs.where(F.lower("repo") == repo.lower()).groupBy("repo").agg((F.first("repo") != repo).alias("differs"))
+    return same.orderBy("differs", "repo").limit(1).select("repo")
+
+
 def repo_listing(docs: DataFrame) -> DataFrame:
     return docs.groupBy("repo").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "repo")
 
@@ -192,36 +236,129 @@ def page_of(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
 
 
 def byte_budget(rows: DataFrame, order: list, cap: int = 25_000) -> DataFrame:
-    """The longest prefix of rows, in order, whose JSON stays within ``cap`` bytes."""
+    """The longest prefix of rows, in order, whose JSON stays within ``cap`` bytes.
+
+    A row is two bytes or more, so only the first ``cap`` / 2 can be in it, and only these meet in one task.
+    """
     size = F.octet_length(F.to_json(F.struct(*rows.columns)))
+    first = rows.orderBy(*order).limit(cap // 2 + 1)
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_b", F.sum(size).over(w)).where(F.col("_b") <= cap).drop("_b")
+    return first.withColumn("_b", F.sum(size).over(w)).where(F.col("_b") <= cap).drop("_b")
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, doc_id, offsets) of (doc_id, content)."""
+    for batch in batches:
+        for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
+            raw = np.frombuffer(content.cast(pa.binary()).as_buffer(), np.uint8).astype(np.int32)
+            gram = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+            order = np.argsort(gram, kind="stable").astype(np.int32)
+            first = np.flatnonzero(np.concatenate(([True], np.diff(gram[order]) != 0)))
+            offsets = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(order))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[order[first]]), pa.repeat(doc_id, len(first)), offsets], names=["gram", "doc_id", "offsets"])
 
 
 def trigrams(docs: DataFrame) -> DataFrame:
-    """Positional postings: (gram, doc_id, offsets) over the UTF-8 bytes of admitted documents; grams are three bytes in hex."""
-    n = F.octet_length("content")
-    ok = docs.where(S.admitted(F.col("content")) & (n >= 3))
-    pos = ok.select("doc_id", F.col("content").cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), n - 3)).alias("o"))
-    gram = F.hex(F.substring("b", F.col("o") + 1, F.lit(3)))
-    return pos.select("doc_id", gram.alias("gram"), "o").groupBy("gram", "doc_id").agg(F.sort_array(F.collect_list("o")).alias("offsets"))
+    """Positional postings: (gram, doc_id, offsets) over the UTF-8 bytes of admitted documents; a gram is three bytes as one number.
+
+    A document's postings are made within its row, so nothing is shuffled.
+    """
+    ok = docs.where(S.admitted(F.col("content")) & (F.octet_length("content") >= 3))
+    return ok.select("doc_id", "content").mapInArrow(_positions, f"gram int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, offsets array<int>")
+
+
+def gram_numbers(literal: str) -> list[int]:
+    """The trigrams of a literal, in order."""
+    b = literal.encode()
+    return [b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)]
+
+
+def case_variants(gram: int) -> list[int]:
+    """The gram in every case of its ASCII letters; none where a letter (k, s) also has a form outside of ASCII."""
+    choices = []
+    for b in gram.to_bytes(3, "big"):
+        c = chr(b)
+        if c in "kKsS" or b >= 128:
+            return []
+        choices.append([ord(c.lower()), ord(c.upper())] if c.isalpha() else [b])
+    return [x << 16 | y << 8 | z for x, y, z in product(*choices)]
+
+
+def gram_plan(q: Query) -> list[list[int]]:
+    """What a document must have: of each list one gram. Empty where the pattern requires no trigram."""
+    grams = sorted({g for literal in required_literals(q) for g in gram_numbers(literal)})
+    wanted = [[g] if q.case == "sensitive" else case_variants(g) for g in grams]
+    return [w for w in wanted if w]
+
+
+@F.pandas_udf(T.DoubleType())
+def entropy(content: pd.Series) -> pd.Series:
+    """Shannon entropy of a text's bytes, or of bytes, in bits per byte; null and empty contents have 0."""
+
+    def one(raw):
+        n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256)
+        p = n[n > 0] / max(1, n.sum())
+        return float(-(p * np.log2(p)).sum()) + 0.0
+
+    return content.map(lambda x: one(x.encode() if isinstance(x, str) else bytes(x or b"")))
 
 
 def entropies(docs: DataFrame) -> DataFrame:
-    """(doc_id, entropy): Shannon entropy of a document's bytes in bits per byte; empty contents have 0."""
-    n = F.octet_length("content")
-    each = docs.where(n > 0).select("doc_id", n.alias("n"), F.col("content").cast("binary").alias("b"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    counts = each.select("doc_id", "n", F.substring("b", F.col("i"), F.lit(1)).alias("x")).groupBy("doc_id", "n", "x").agg(F.count("*").alias("k"))
-    p = F.col("k") / F.col("n")
-    known = counts.groupBy("doc_id").agg((-F.sum(p * F.log2(p))).alias("entropy"))
-    return docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
+    """(doc_id, entropy) of every document."""
+    return docs.select("doc_id", entropy("content").alias("entropy"))
+
+
+def gate(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``reason``: why the corpus gate rejects a document (size, NUL bytes, entropy), or null."""
+    return docs.withColumn("reason", S.rejection(F.col("content"), entropy("content")))
+
+
+def planned_candidates(postings: DataFrame, wanted: list[list[int]]) -> DataFrame:
+    """Ids of the documents that have one gram of each list: a superset of the matches. Postings of other grams are not read."""
+    at = {g: k for k, grams in enumerate(wanted) for g in grams}
+    number = F.create_map(*[F.lit(x).cast("int") for kv in at.items() for x in kv])
+    hit = postings.where(F.col("gram").isin(sorted(at))).select("doc_id", number[F.col("gram")].alias("wanted"))
+    return hit.groupBy("doc_id").agg(F.countDistinct("wanted").alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
+
+
+# -- the stored index ----------------------------------------------------------------------------
+
+INDEX_VERSION = 1
+
+
+def save_index(docs: DataFrame, path: str) -> None:
+    """Stores documents (doc_id, repo, path, content) and their postings below ``path``, with a manifest of the format's version.
+
+    Postings are ordered by gram over all files, so that a search reads the few row groups whose range holds its grams.
+    """
+    ok = docs.where(S.admitted(F.col("content"))).select("doc_id", "repo", "path", S.detect_lang(F.col("path")).alias("lang"), "content")
+    ok.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/docs")
+    stored = docs.sparkSession.read.parquet(f"{path}/docs")
+    trigrams(stored).repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    docs.sparkSession.createDataFrame([(INDEX_VERSION,)], "version int").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+class Index:
+    """A stored index, opened: its documents and postings."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        version = [r.version for r in spark.read.schema("version int").json(f"{path}/manifest").collect()]
+        if version != [INDEX_VERSION]:
+            raise ValueError(f"{path}: index version {version}, {INDEX_VERSION} is supported")
+        self.docs, self.postings = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
+
+    def repos(self) -> DataFrame:
+        """Repositories with the number of documents and their first and last path."""
+        return self.docs.groupBy("repo").agg(F.count("*").alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
+    def candidates(self, q: Query) -> DataFrame:
+        """The documents whose postings allow a match; all of them where the pattern requires no trigram."""
+        wanted = gram_plan(q.validate())
+        return self.docs.join(planned_candidates(self.postings, wanted), "doc_id", "left_semi") if wanted else self.docs
 
-def planned_candidates(postings: DataFrame, literals: list[str]) -> DataFrame:
-    """Documents that have every trigram of the literals (a superset of the matches), by a semi-join and one count."""
-    grams = sorted({b[i : i + 3].hex().upper() for s in literals for b in [s.encode()] for i in range(len(b) - 2)})
-    hit = postings.where(F.col("gram").isin(grams))
-    return hit.groupBy("doc_id").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(grams)).select("doc_id")
+    def search(self, q: Query) -> DataFrame:
+        """``scored`` over the candidates only."""
+        return scored(self.candidates(q), q)
 
 
 def update_docs(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -237,6 +374,8 @@ def remove_repo(docs: DataFrame, repo: str) -> DataFrame:
 #: The columns that the concise form keeps, by tool, and those of each named field.
 CONCISE = {
     "search_repos": ["repo", "stars", "star_tier", "license", "license_class", "activity", "what", "url"],
+    "repo_tree": ["path", "size"],
+    "repo_profile": ["repo", "files", "languages", "top_dirs"],
     "search_code": ["repo", "probes_hit", "probe_breadth", "total_probes", "hit_files", "license_class", "path", "locator", "start_line", "end_line", "backends"],
 }
 FIELDS = {"what": ["what"], "catch": ["catch"], "license": ["license", "license_class"], "recency": ["last_release", "days_since_activity", "activity"], "stars": ["stars", "star_tier"], "urls": ["url"]}

@@ -149,6 +149,32 @@ def literal_runs(pattern: str) -> list[str]:
     return [r for r in [*runs, now] if r]
 
 
+def required_literals(q: Query) -> list[str]:
+    """Strings that every match of the pattern contains. Alternatives, optional parts and classes require nothing."""
+    if q.kind == "literal":
+        return [q.pattern] if q.pattern else []
+    runs: list[str] = [""]
+
+    def walk(tokens) -> None:
+        for op, arg in tokens:
+            name = str(op)
+            if name == "LITERAL":
+                runs[-1] += chr(arg)
+            elif name == "SUBPATTERN" and not arg[1] and not arg[2]:  # a group without flags of its own
+                walk(arg[3])
+            elif name == "MAX_REPEAT" and arg[0] > 0:
+                walk(arg[2])
+                runs.append("")
+            else:
+                runs.append("")
+
+    parsed = re._parser.parse(q.pattern)
+    if parsed.state.flags & ~re.UNICODE:  # flags inside the pattern change what literals mean
+        return []
+    walk(parsed)
+    return [r for r in runs if r]
+
+
 def plan(q: Query) -> list[tuple[str, list[str]]]:
     """The backends that a query goes to, in order, each with warnings."""
     q.validate()
