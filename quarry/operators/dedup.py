@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import scalars as S
-from quarry.sources.tables import content_hash
+from quarry.operators.search import gate
+from quarry.sources.tables import content_hash, settled
 
 MIN_TOKENS, THRESHOLD, SHINGLE, BANDS, ROWS = 50, 0.85, 5, 16, 8
+#: The known licenses are sent to every task.
+MAX_LICENSES = 1000
 
 
 def tokens(content: Column) -> Column:
@@ -42,25 +49,68 @@ def shingles(toks: Column) -> Column:
 _RNG = np.random.default_rng(20240101)
 _MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def band_keys(sh: pd.Series) -> pd.Series:
-    """A key per band of the MinHash signature of an array of shingle hashes: 128 multiply-add permutations, 16 bands of 8 rows."""
-
-    def keys(x):
-        h = np.asarray(x, np.int64).view(np.uint64)
-        low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(h), 2048):
-            part = h[at : at + 2048, None] * _MUL + _ADD
-            np.minimum(low, (part ^ (part >> np.uint64(29))).min(axis=0), out=low)
-        acc = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for row in low.reshape(BANDS, ROWS).T:
-            acc = (acc ^ row) * np.uint64(0x9E3779B97F4A7C15)
-            acc ^= acc >> np.uint64(32)
-        return acc.view(np.int64)
-
-    return sh.map(keys)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_TOKEN = re.compile(rb"[0-9a-z]+")
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Distinct tokens whose hashes a task remembers before it starts again.
+MEMO_TOKENS = 1_000_000
+
+
+def minhash(sh: np.ndarray) -> np.ndarray:
+    """The MinHash signature of shingle hashes: 128 multiply-add permutations."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(sh), 2048):
+        part = sh[at : at + 2048, None] * _MUL + _ADD
+        np.minimum(low, (part ^ (part >> np.uint64(29))).min(axis=0), out=low)
+    return low
+
+
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """A key per band of a signature: 16 bands of 8 rows."""
+    acc = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in signature.reshape(BANDS, ROWS).T:
+        acc = (acc ^ row) * _STEP
+        acc ^= acc >> np.uint64(32)
+    return acc
+
+
+def shingle_hashes(toks: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
+    """Sorted distinct hashes of the five-token windows; one to four tokens are one window."""
+    if not toks:
+        return np.zeros(0, np.uint64)
+    if len(memo) > MEMO_TOKENS:
+        memo.clear()
+    for t in toks:
+        if t not in memo:
+            memo[t] = int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little")
+    h = np.fromiter((memo[t] for t in toks), np.uint64, len(toks))
+    n = min(SHINGLE, len(h))
+    acc = np.full(len(h) - n + 1, n, np.uint64)
+    for j in range(n):
+        acc = (acc ^ h[j : j + len(acc)]) * _STEP
+        acc ^= acc >> np.uint64(29)
+    return np.unique(acc)
+
+
+def features(docs: DataFrame, seq: str = "doc_id") -> DataFrame:
+    """(seq, hash, thash, n, sh, bands): content and token hashes, number of tokens, shingle hashes as bytes, keys of the bands (from MIN_TOKENS on)."""
+
+    def run(batches):
+        memo: dict[bytes, int] = {}
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                raw = (text or "").encode()
+                toks = _TOKEN.findall(raw.translate(_LOWER))
+                many = len(toks) >= MIN_TOKENS
+                sh = shingle_hashes(toks, memo) if many else np.zeros(0, np.uint64)
+                thash = hashlib.sha256(b"\x1f".join(toks) + b"\x1f" * bool(toks)).hexdigest()
+                out.append((hashlib.sha256(raw).hexdigest(), thash, len(toks), sh.tobytes(), band_keys(minhash(sh)).view(np.int64).tolist() if many else []))
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["seq", "hash", "thash", "n", "sh", "bands"])
+
+    return docs.select(seq, "content").mapInArrow(run, f"seq {docs.schema[seq].dataType.simpleString()}, hash string, thash string, n int, sh binary, bands array<bigint>")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -81,33 +131,97 @@ def classify(docs: DataFrame, seq: str = "doc_id") -> DataFrame:
     alone and each tier is one grouped minimum. Near candidates share a band of MinHash rows with an earlier document and
     are verified by their exact Jaccard similarity.
     """
-    base = docs.select(F.col(seq).alias("seq"), content_hash().alias("hash"), tokens(F.col("content")).alias("toks"))
-    base = base.select("seq", "hash", token_hash(F.col("toks")).alias("thash"), F.size("toks").alias("n"), shingles(F.col("toks")).alias("sh"))
+    base = features(docs, seq)
     first = base.groupBy("hash").agg(F.min("seq").alias("first"))
-    base = base.join(first, "hash")
-    if base.sparkSession.sparkContext.getCheckpointDir() is None and (root := base.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        base.sparkSession.sparkContext.setCheckpointDir(root)
-    if base.sparkSession.sparkContext.getCheckpointDir() is not None:
-        base = base.checkpoint()  # every tier reads it; without a shared folder each tier computes it again
+    base = settled(base.join(first, "hash"))  # every tier reads it
     exact = base.where("seq > first").select("seq", F.lit("exact").alias("kind"), F.col("hash").alias("of"), F.lit(None).cast("double").alias("similarity"))
     rest = base.where("seq = first")
     tfirst = rest.groupBy("thash").agg(F.min("seq").alias("tfirst"), F.min_by("hash", "seq").alias("thead"))
     rest = rest.join(tfirst, "thash")
     token = rest.where("seq > tfirst").select("seq", F.lit("token").alias("kind"), F.col("thead").alias("of"), F.lit(None).cast("double").alias("similarity"))
     rest = rest.where("seq = tfirst")
-    near = near_pairs(rest.where(F.col("n") >= MIN_TOKENS).select("seq", "sh"))
+    near = near_pairs(settled(rest.where(F.col("n") >= MIN_TOKENS).select("seq", "sh", "bands")))
     best = near.groupBy("seq").agg(F.max_by("other", F.struct("similarity", -F.col("other"))).alias("o"), F.max("similarity").alias("similarity"))
     last = rest.select("seq").join(best, "seq", "left")
     kind = F.when(F.col("o").isNull(), "unique").otherwise("near")
     return exact.union(token).union(last.select("seq", kind.alias("kind"), F.col("o").cast("string").alias("of"), "similarity"))
 
 
+#: Buckets of up to PAIRED rows are enumerated in pairs; larger ones are compared in pairs of blocks of about BLOCK.
+PAIRED, BLOCK = 32, 256
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
 def near_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(seq, other, similarity) of pairs with an earlier ``other``; rows are (seq, sh) of different texts."""
-    keyed = rows.select("seq", F.explode(band_keys("sh")).alias("band"))
-    pairs = keyed.alias("a").join(keyed.withColumnRenamed("seq", "other").alias("b"), "band").where("other < seq").select("seq", "other").distinct()
-    wide = pairs.join(rows, "seq").join(rows.select(F.col("seq").alias("other"), F.col("sh").alias("osh")), "other")
-    return wide.select("seq", "other", jaccard(F.col("sh"), F.col("osh")).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(seq, other, similarity) with an earlier ``other``; rows are (seq, sh, bands) of different texts.
+
+    All pairs that share a band are verified. Of those in a large bucket only the best per ``seq`` and pair of blocks leaves the task,
+    so the best of each row is right, and a group of n similar rows makes n * n / BLOCK rows, not n * n.
+    """
+    keyed = rows.select("seq", F.explode("bands").alias("band"))
+    found = settled(keyed.join(keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band"))
+    small = found.where(F.col("size") <= PAIRED).groupBy("band").agg(F.sort_array(F.collect_list("seq")).alias("xs"))
+    first = small.select("xs", F.posexplode("xs").alias("i", "other"))
+    pairs = first.select("other", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("seq")).distinct()
+    wide = pairs.join(rows.select("seq", "sh"), "seq").join(rows.select(F.col("seq").alias("other"), F.col("sh").alias("osh")), "other").select("seq", "other", "sh", "osh")
+    names, kind = ["seq", "other", "similarity"], rows.schema["seq"].dataType.simpleString()
+    schema = f"seq {kind}, other {kind}, similarity double"
+
+    def verify(batches):
+        for batch in batches:
+            sim = [_similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], names=names).filter(pa.array([x >= threshold for x in sim], pa.bool_()))
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = found.where(F.col("size") > PAIRED).select("band", "seq", blocks.alias("m"), F.pmod(F.xxhash64("seq", "band"), blocks).cast("int").alias("own"))
+    own = own.select("band", "seq", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
+    cells = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "seq").join(rows.select("seq", "sh"), "seq")
+    cells = cells.select("band", "i", "j", "own", "seq", "sh").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "seq")
+
+    def compare(batches):
+        now, members = None, []
+
+        def close():
+            best = []
+            for k, (side, seq, sh) in enumerate(members):
+                top = (threshold, None)
+                for other_side, other, osh in members[:k]:
+                    if (now[1] == now[2] or side != other_side) and ((sim := _similar(sh, osh)) > top[0] or sim == top[0] and top[1] is None):
+                        top = (sim, other)
+                if top[1] is not None:
+                    best.append((seq, top[1], top[0]))
+            members.clear()
+            return pa.RecordBatch.from_arrays([pa.array([b[0] for b in best], arrow), pa.array([b[1] for b in best], arrow), pa.array([b[2] for b in best], pa.float64())], names=names)
+
+        arrow = pa.int64()
+        for batch in batches:
+            arrow = batch.schema.field(4).type
+            for band, i, j, side, seq, sh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, i, j) != now:
+                    if members:
+                        yield close()
+                    now = (band, i, j)
+                members.append((side, seq, np.frombuffer(sh, np.uint64)))
+        if members:
+            yield close()
+
+    return wide.mapInArrow(verify, schema).union(cells.mapInArrow(compare, schema))
+
+
+def estimated_jaccard(a: Column, b: Column) -> Column:
+    """The share of equal places of two signatures."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    return same / F.nullif(F.size(a), F.lit(0))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def signature(sh: pd.Series) -> pd.Series:
+    """The MinHash signature of an array of shingle hashes."""
+    return sh.map(lambda x: minhash(np.asarray(x, np.int64).view(np.uint64)).view(np.int64))
 
 
 def cas_stats(docs: DataFrame) -> DataFrame:
@@ -117,14 +231,28 @@ def cas_stats(docs: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("raw_bytes") == 0, 1.0).otherwise(F.round(F.col("offered_bytes") / F.nullif("raw_bytes", F.lit(0)), 6)))
 
 
+def ingest(docs: DataFrame) -> DataFrame:
+    """(doc_id, repo, size, reason, kind): why the gate rejects a document, or its tier among the accepted ones."""
+    gated = settled(gate(docs.select("doc_id", "repo", "content")))
+    kinds = classify(gated.where("reason IS NULL")).select(F.col("seq").alias("doc_id"), "kind")
+    return gated.select("doc_id", "repo", F.octet_length("content").cast("long").alias("size"), "reason").join(kinds, "doc_id", "left")
+
+
 def repo_reports(docs: DataFrame) -> DataFrame:
-    """Per repo: files seen and accepted, rejections, and bytes of contents first seen there."""
-    ok = S.admitted(F.col("content"))
-    base = docs.select("repo", "doc_id", ok.alias("ok"), content_hash().alias("hash"), F.octet_length("content").cast("long").alias("size"))
-    w = Window.partitionBy("hash").orderBy("doc_id")
-    base = base.withColumn("new", F.row_number().over(w) == 1)
-    count = lambda c: F.count_if(c).alias
-    return base.groupBy("repo").agg(F.count("*").alias("seen"), count(F.col("ok"))("accepted"), count(~F.col("ok"))("rejected"), F.coalesce(F.sum(F.when(F.col("ok") & F.col("new"), F.col("size"))), F.lit(0)).alias("new_bytes"))
+    """Per repo: files seen, accepted, rejected by reason, duplicates by tier, and bytes of contents first seen there."""
+    count = lambda name, c: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    reason, kind = F.col("reason"), F.col("kind")
+    return ingest(docs).groupBy("repo").agg(
+        F.count("*").alias("seen"), count("accepted", reason.isNull()), *[count(r, reason == r) for r in ("too_large", "binary_nul", "high_entropy")],
+        *[count(k, kind == k) for k in ("exact", "token", "near", "unique")], F.coalesce(F.sum(F.when(kind != "exact", F.col("size"))), F.lit(0)).alias("new_bytes"),
+    )
+
+
+def stored_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, stored, blobs) of a content store: bytes on disk and blobs of each file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("stored"))
+    blobs_ = spark.read.parquet(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).groupBy("file").agg(F.count("*").alias("blobs"))
+    return files.join(blobs_, "file")
 
 
 def normalize_license(text: Column) -> Column:
@@ -145,8 +273,10 @@ def char_trigrams(text: Column) -> Column:
 def match_licenses(texts: DataFrame, licenses: DataFrame) -> DataFrame:
     """(id, spdx, score) of texts (id, text) against known licenses (idx, spdx, text); null below 64 bytes or 0.8.
 
-    The known licenses are a fixed list of a few; every text meets each of them once, by exploding that list.
+    The known licenses are a list of at most MAX_LICENSES; every text meets each of them once, by exploding that list.
     """
+    if licenses.limit(MAX_LICENSES + 1).count() > MAX_LICENSES:
+        raise ValueError(f"more than {MAX_LICENSES} licenses")
     prep = lambda c: F.struct(normalize_license(c).alias("full"))["full"]
     known = licenses.select("idx", "spdx", prep(F.col("text")).alias("lf"))
     known = known.select("idx", "spdx", "lf", char_trigrams(F.col("lf")).alias("lg"), char_trigrams(F.substring("lf", 1, 200)).alias("lp"))

@@ -97,3 +97,47 @@ def backend_status(responses: DataFrame) -> DataFrame:
     g = responses.groupBy("backend").agg(ok.alias("ok"), gone.alias("unavailable"), weak.alias("degraded"), F.count("*").alias("total"), reason.alias("first_reason"))
     state = F.when(F.col("unavailable") == F.col("total"), "error").when((F.col("unavailable") == 0) & (F.col("degraded") == 0), "ok").otherwise("degraded")
     return g.withColumn("state", state)
+
+
+def max_normalised(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """``rows`` with ``value`` over its maximum; 0 everywhere if that is not positive."""
+    top = rows.agg(F.max(value).alias("_top"))
+    return rows.join(F.broadcast(top)).withColumn(out, F.when(F.col("_top") > 0, F.col(value) / F.nullif("_top", F.lit(0))).otherwise(0.0)).drop("_top")  # one row on the right
+
+
+#: Columns that change often: the repository search knows them best. The others it only fills where they are unknown.
+VOLATILE, FILLED = ["stars", "forks", "archived"], ["description", "license", "language", "url"]
+
+
+def merge_live(packages: DataFrame, repos: DataFrame) -> DataFrame:
+    """Candidates of a package search (repo or null, package, and the columns above, pushed_at) and of a repository search, one row each.
+
+    A repository that is a candidate already (case of its name ignored) takes the volatile columns of the repository search, and its
+    time of the last push if that is known; its other columns are filled where null or empty. Candidates without a repository stay.
+    """
+    a = packages.select(F.lower("repo").alias("_k"), F.lit(True).alias("a"), *[F.col(c).alias(f"a_{c}") for c in ["repo", "package", "pushed_at", *VOLATILE, *FILLED]])
+    b = repos.select(F.lower("repo").alias("_k"), F.lit(True).alias("b"), *[F.col(c).alias(f"b_{c}") for c in ["repo", "pushed_at", *VOLATILE, *FILLED]])
+    both = a.join(b, "_k", "full_outer")
+    none = F.lit(None).cast("string")
+    sources = F.concat_ws(",", F.when(F.col("a"), "npm").otherwise(none), F.when(F.col("b"), "github").otherwise(none))
+    filled = lambda c: F.coalesce(F.when(F.col(f"a_{c}") != "", F.col(f"a_{c}")), F.col(f"b_{c}"))
+    return both.select(
+        F.coalesce("a_repo", "b_repo").alias("repo"), F.col("a_package").alias("package"), *[F.coalesce(f"b_{c}", f"a_{c}").alias(c) for c in ["pushed_at", *VOLATILE]], *[filled(c).alias(c) for c in FILLED], sources.alias("sources"),
+    )
+
+
+def live_search(packages: DataFrame, repos: DataFrame, as_of: Column, *, by: str = "fitness", language: str | None = None, min_stars: int = 0, limit: int = 10, offset: int = 0) -> DataFrame:
+    """Repository search over two sources: merged, scored without centrality, filtered, ordered and paged; with derived columns."""
+    unknown = lambda kind: F.lit(None).cast(kind)
+    rows = merge_live(packages, repos).where("repo IS NOT NULL").select(
+        F.concat(F.lit("https://github.com/"), "repo").alias("repo_url"), "repo", "stars", "forks", F.coalesce("archived", F.lit(False)).alias("archived"), "license", "language", "sources", S.days_since(F.col("pushed_at"), as_of).alias("last_push_days_ago"),
+        F.lit(0).alias("dependents_count"), unknown("double").alias("release_cadence"), unknown("double").alias("issue_response_days"), unknown("double").alias("openssf_score"), F.lit(0).alias("awesome_list_memberships"), F.lit(0).alias("hn_mentions"),
+        F.col("license").isNotNull().alias("license_present"), F.lit(False).alias("has_tests_heuristic"), F.lit(0.0).alias("centrality"),
+    )
+    out = rank(rows.withColumn("stars", F.coalesce("stars", F.lit(0))).withColumn("forks", F.coalesce("forks", F.lit(0))), by=by, language=language, min_stars=min_stars, limit=limit, offset=offset)
+    return out.withColumns({"star_tier": S.star_tier(F.col("stars")), "license_class": S.license_class(F.col("license")), "activity": S.activity(F.col("last_push_days_ago"))})
+
+
+def response_flags(responses: DataFrame) -> DataFrame:
+    """(partial, has_more) over all responses (status, has_more): partial if any is not ok."""
+    return responses.agg(F.coalesce(F.bool_or(F.col("status") != "ok"), F.lit(False)).alias("partial"), F.coalesce(F.bool_or("has_more"), F.lit(False)).alias("has_more"))

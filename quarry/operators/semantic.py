@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -81,15 +82,59 @@ def python_items(source: str) -> list[dict] | None:
     return out or None
 
 
+#: How a top-level item begins in languages with braces: kind by pattern; the group is the symbol. Ours, by line shapes.
+_ITEMS = {
+    "rust": [("function", r"(?:pub(?:\([^)]*\))? )?(?:const |async |unsafe |extern \"[^\"]*\" )*fn (\w+)"), ("class", r"(?:pub(?:\([^)]*\))? )?(?:struct|enum|trait|union|mod) (\w+)"), ("impl", r"(?:unsafe )?impl\b(?:<[^{]*>)? ?([^{]*?) ?(?:where\b.*)?\{?$")],
+    "go": [("function", r"func (?:\([^)]*\) )?(\w+)"), ("class", r"type (\w+)")],
+    "javascript": [("function", r"(?:export )?(?:default )?(?:async )?function\*? ?(\w+)"), ("class", r"(?:export )?(?:default )?class (\w+)"), ("function", r"(?:export )?const (\w+) = (?:async )?\(?[^=]*=>")],
+    "c": [("function", r"[A-Za-z_][\w\s*]*?\b(\w+)\([^;]*$"), ("class", r"(?:typedef )?(?:struct|enum|union) (\w+)[^;(]*$")],
+}
+_ITEMS["typescript"] = [*_ITEMS["javascript"], ("class", r"(?:export )?(?:interface|type|enum) (\w+)")]
+_COMPILED = {lang: [(kind, re.compile(p)) for kind, p in rules] for lang, rules in _ITEMS.items()}
+_NO_CODE = re.compile(r"//.*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'")
+
+
+def brace_items(source: str, lang: str) -> list[dict] | None:
+    """Top-level items of a language with braces: from a line that begins one to the line that closes its braces (or its end at ``;``).
+
+    Comments and attributes right above belong to an item. None where there is no item or braces do not close.
+    """
+    lines, out, i = source.split("\n"), [], 0
+    while i < len(lines):
+        hit = next(((kind, m) for kind, p in _COMPILED.get(lang, ()) if (m := p.match(lines[i]))), None)
+        if hit is None:
+            i += 1
+            continue
+        start, depth, opened, end = i, 0, False, None
+        for j in range(i, len(lines)):
+            code = _NO_CODE.sub("", lines[j])
+            depth += code.count("{") - code.count("}")
+            opened = opened or "{" in code
+            if depth <= 0 and (opened or ";" in code or lang == "go" and not code.rstrip().endswith(("(", ","))):
+                end = j
+                break
+        if end is None:
+            return None
+        while start > 0 and re.match(r"\s*(//|/\*|\*|#\[|@)", lines[start - 1]):
+            start -= 1
+        out.append({"kind": hit[0], "symbol": hit[1][1].strip(), "start_line": start + 1, "end_line": end + 1})
+        i = end + 1
+    return out or None
+
+
+def items_of(source: str, lang: str) -> list[dict] | None:
+    return python_items(source) if lang == "python" else brace_items(source, lang)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """(id, repo, path, kind, symbol, start_line, end_line, text, lang): syntax items of Python, line windows of the rest."""
+    """(id, repo, path, kind, symbol, start_line, end_line, text, lang): syntax items of Python and of languages with braces, line windows of the rest."""
 
     @F.pandas_udf(_CHUNK)
-    def parse(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda s: python_items(s) if s else None)
+    def parse(sources: pd.Series, langs: pd.Series) -> pd.Series:
+        return pd.Series([items_of(t, lang) if t else None for t, lang in zip(sources, langs, strict=True)], dtype=object)
 
     lang = S.detect_lang(F.col("path"))
-    items = docs.select("repo", "path", "content", F.when(lang == "python", parse("content")).alias("items"))
+    items = docs.select("repo", "path", "content", F.when(lang.isin("python", *_ITEMS), parse("content", lang)).alias("items"))
     whole = items.where("items IS NOT NULL").select("repo", "path", S.lines_of(F.col("content")).alias("all"), F.explode("items").alias("x"))
     ident = F.concat("repo", F.lit("/"), "path", F.lit(":"), F.col("x.start_line").cast("string"), F.lit("-"), F.col("x.end_line").cast("string"))
     text = F.array_join(F.slice("all", F.col("x.start_line").cast("int"), (F.col("x.end_line") - F.col("x.start_line") + 1).cast("int")), "\n")
@@ -98,6 +143,26 @@ def chunks(docs: DataFrame) -> DataFrame:
     return syntax.union(rest).withColumn("lang", S.detect_lang(F.col("path")))
 
 
+def put_chunks(store: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """A chunk store with ``rows`` in it: of equal ids the new row stays."""
+    fresh = rows.dropDuplicates(["id"])
+    return fresh if store is None else store.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+
+
+def get_chunks(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """The wanted ids with their chunks; null columns where there is none."""
+    return ids.select("id").join(store, "id", "left")
+
+
+def chunks_by_path(store: DataFrame, repo: str, path: str) -> DataFrame:
+    return store.where((F.col("repo") == repo) & (F.col("path") == path)).orderBy("start_line", "id")
+
+
+def resolve(hits: DataFrame, store: DataFrame) -> DataFrame:
+    """Hits (id, score) with the repo, path and ``path:line`` locator of their chunks; hits without a chunk stay."""
+    return hits.join(store.select("id", "repo", "path", F.concat("path", F.lit(":"), F.col("start_line").cast("string")).alias("locator")), "id", "left")
+
+
 def index_source(docs: DataFrame, embedder: Callable[[Column], Column] = embed) -> DataFrame:
     """Chunks with their embeddings; of chunks with one id the last in (path, kind) order stays."""
     w = Window.partitionBy("id").orderBy(F.desc("kind"))

@@ -83,3 +83,52 @@ def rate_limit_wait(headers: dict[str, str], now: float) -> float | None:
     if headers.get("x-ratelimit-remaining", "0").strip() == "0" and reset.isdigit() and int(reset) > int(now):
         return min(float(int(reset) - int(now)), MAX_WAIT)
     return None
+
+
+def wait_seconds(retry_after: Column, remaining: Column, reset: Column, now: Column) -> Column:
+    """``rate_limit_wait`` on columns: header strings and the time in seconds."""
+    after = F.trim(F.coalesce(retry_after, F.lit("")))
+    date = F.try_to_timestamp(F.regexp_replace(after, r"^[A-Za-z]+,\s*|\s*GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), date.cast("timestamp_ntz"))  # whatever the session's time zone
+    dated = F.greatest(seconds.cast("double") - now, F.lit(0.0))
+    until = F.trim(F.coalesce(reset, F.lit(""))).try_cast("long").cast("double")
+    spent = F.trim(F.coalesce(remaining, F.lit("0"))) == "0"
+    wait = F.when(after.rlike("^[0-9]+$"), after.try_cast("double")).when(date.isNotNull(), dated).when(spent & (until > F.floor(now)), until - F.floor(now))
+    return F.when(wait.isNotNull(), F.least(wait, F.lit(MAX_WAIT)))
+
+
+def rate_limited(status: Column, remaining: Column, retry_after: Column) -> Column:
+    """``is_rate_limited`` on columns."""
+    return (status == 429) | ((status == 403) & (F.coalesce(F.trim(remaining) == "0", F.lit(False)) | retry_after.isNotNull()))
+
+
+def code_query(pattern: Column, *, repo: Column, org: Column, language: Column, path: Column) -> Column:
+    """The request string of a code search: the pattern, quoted where it must be, and qualifiers; null without a pattern."""
+    part = lambda name, c: F.when(F.trim(c) != "", F.concat(F.lit(f"{name}:"), qualifier_value(c)))
+    return F.when(F.trim(pattern) != "", F.concat_ws(" ", F.trim(pattern), part("repo", repo), part("org", org), part("language", language), part("path", path)))
+
+
+def page_of(offset: Column, per_page: int) -> Column:
+    """The 1-based page that holds an offset."""
+    return F.floor(offset / per_page).cast("long") + 1
+
+
+def regex_escape(text: Column) -> Column:
+    """The text with every character escaped that means something in a regex."""
+    return F.regexp_replace(text, r"([\\.+*?()|\[\]{}^$#&~-])", r"\\$1")
+
+
+def encode_segment(segment: Column) -> Column:
+    """A path segment of an address: slashes are escaped."""
+    return F.replace(segment, F.lit("/"), F.lit("%2F"))
+
+
+def build_url(base: str, path: Column, params: dict[str, Column]) -> Column:
+    """An address with form-encoded parameters."""
+    pairs = [F.concat(F.lit(f"{k}="), F.url_encode(v)) for k, v in params.items()]
+    return F.concat(F.lit(base), path, F.lit("?"), F.concat_ws("&", *pairs))
+
+
+def repo_name(url: Column) -> Column:
+    """The last segment of an address, without ``.git``."""
+    return F.regexp_replace(F.substring_index(F.regexp_replace(url, "/+$", ""), "/", -1), r"\.git$", "")

@@ -47,6 +47,14 @@ def safe_tree_rows(tree: DataFrame, max_bytes: int = 1_048_576) -> DataFrame:
     return tree.where((F.col("kind") == "blob") & ~F.col("mode").isin("120000", "160000") & safe & (F.col("size") <= max_bytes))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: checkpointed where the session names a shared folder, else persisted (Spark computes lost parts again)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None and (root := spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(root)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() is not None else df.persist()
+
+
 def content_hash(col: str = "content"):
     return F.sha2(F.col(col).cast("binary"), 256)
 
