@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
 from quarry.operators import dedup, graph, rank, retrieval, search, semantic
 from quarry.plans.language import Query as TextQuery
+from quarry.plans.registry import QUERIES, SQL, Query
+from quarry.plans.registry import query as _query
 from quarry.sources import backends
 from quarry.sources.tables import blobs, docs_view, last_wins, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 DOCS = """docs AS (
   SELECT doc_id, 'org/' || source AS repo,
     CASE WHEN doc_id % 5 = 0 THEN 'tests/' ELSE 'src/' END || lang || '/doc_' || doc_id || '.' || (['rs', 'py', 'js', 'go', 'md', 'txt'])[CAST(doc_id % 6 + 1 AS INT)] AS path,
@@ -29,16 +25,6 @@ LANG = """CASE regexp_extract(path, '[^.]*$') WHEN 'rs' THEN 'rust' WHEN 'py' TH
 PROBE, PROBES = "thtion", ["thtion", "erentan", "worthless"]
 
 
-def _query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
 def _docs(spark, sf_dir):
     return docs_view(table(spark, sf_dir, "documents"))
 
@@ -145,11 +131,6 @@ def _(spark, d):
     return rows.join(F.broadcast(agg)).select("p_partkey", F.round(S.min_max(F.col("p_retailprice"), F.col("lo"), F.col("hi")), 6).alias("normalized"))
 
 
-@_query("rk_npms")
-def _(spark, d):
-    return rank.npms_scores(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", F.round("npms", 6).alias("npms"))
-
-
 @_query("sc_entropy", f"WITH {DOCS}, b AS (SELECT doc_id, h[2 * i + 1:2 * i + 2] AS c FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM (SELECT doc_id, hex(encode(content)) AS h FROM docs))), g AS (SELECT doc_id, c, count(*) AS k FROM b GROUP BY 1, 2), n AS (SELECT doc_id, k, sum(k) OVER (PARTITION BY doc_id) AS n FROM g) SELECT doc_id, round(-sum(k / n * log2(k / n)), 6) AS entropy FROM n GROUP BY doc_id")
 def _(spark, d):
     return search.entropies(_docs(spark, d)).select("doc_id", F.round("entropy", 6).alias("entropy"))
@@ -173,6 +154,15 @@ def _(spark, d):
     return search.line_matches(_docs(spark, d), TextQuery("th(tion|erent)[a-z]+ing", kind="regex", case="sensitive")).select("repo", "path", "line_no", "line")
 
 
+for _name, _pattern in (("txt_regex_start", "^[A-Z][a-z]+ion "), ("txt_regex_end", "[a-z]+ing\\.$"), ("txt_regex_whole", "^[^ ]+tion [^.]+\\.$")):
+    # anchors mean the ends of lines
+
+    def _anchored(spark, d, pattern=_pattern):
+        return search.line_matches(_docs(spark, d), TextQuery(pattern, kind="regex", case="sensitive")).select("repo", "path", "line_no", "line")
+
+    _query(_name, f"WITH {DOCS}, {LINES} SELECT repo, path, CAST(line_no AS BIGINT) AS line_no, line FROM lines WHERE regexp_matches(line, '{_pattern}')")(_anchored)
+
+
 @_query("txt_scored_topk", f"WITH {DOCS}, {LINES}, {scored_sql(PROBE)} SELECT repo, path, matched_lines, whole_word::DOUBLE AS whole_word, test_path::DOUBLE AS test_path, round(density, 6) AS density, {TOTAL} AS score FROM sc ORDER BY score DESC, path, repo LIMIT 50")
 def _(spark, d):
     return search.top(search.scored(_docs(spark, d), TextQuery(PROBE))).select("repo", "path", "matched_lines", "whole_word", "test_path", "density", "score")
@@ -214,9 +204,10 @@ def _(spark, d):
     return search.tree(_docs(spark, d), "org/src3", prefix="src/", glob="*.py")
 
 
-@_query("txt_profile", f"WITH {DOCS} SELECT repo, count(*) AS files, string_agg(DISTINCT {LANG}, ',' ORDER BY {LANG}) AS languages, string_agg(DISTINCT split_part(path, '/', 1), ',' ORDER BY split_part(path, '/', 1)) AS top_dirs FROM docs GROUP BY repo")
+@_query("txt_profile", f"""WITH {DOCS} SELECT repo, count(*) AS files, string_agg(DISTINCT {LANG}, ',' ORDER BY {LANG}) AS languages, string_agg(DISTINCT split_part(path, '/', 1), ',' ORDER BY split_part(path, '/', 1)) AS top_dirs,
+  arg_min(left(array_to_string(list_filter(list_transform(string_split_regex(content, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')[1:6], ' '), 400), path) FILTER (WHERE path LIKE '%.md') AS digest FROM docs GROUP BY repo""")
 def _(spark, d):
-    return search.profiles(_docs(spark, d)).select("repo", "files", F.array_join("languages", ",").alias("languages"), F.array_join("top_dirs", ",").alias("top_dirs"))
+    return search.profiles(_docs(spark, d)).select("repo", "files", F.array_join("languages", ",").alias("languages"), F.array_join("top_dirs", ",").alias("top_dirs"), "digest")
 
 
 @_query("txt_listing", f"WITH {DOCS} SELECT repo, count(*) AS files FROM docs GROUP BY repo")
@@ -230,14 +221,14 @@ def _(spark, d):
     return out.select("repo", "path", "n_lines", F.array_join(F.transform("lines", lambda x: x["line"].cast("string")), ",").alias("at"))
 
 
-@_query("txt_postings", f"WITH {DOCS}, h AS (SELECT doc_id, hex(encode(content)) AS h FROM docs WHERE strlen(content) BETWEEN 3 AND 1048576), g AS (SELECT doc_id, substr(h, CAST(2 * o + 1 AS INT), 6) AS gram FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 2)) AS o FROM h)) SELECT gram, count(*) AS postings, count(DISTINCT doc_id) AS docs FROM g GROUP BY gram")
+@_query("txt_postings", f"WITH {DOCS}, h AS (SELECT doc_id, hex(encode(content)) AS h FROM docs WHERE strlen(content) BETWEEN 3 AND 1048576), g AS (SELECT doc_id, substr(h, CAST(2 * o + 1 AS INT), 6) AS gram FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 2)) AS o FROM h)) SELECT CAST('0x' || gram AS INT) AS gram, count(*) AS postings, count(DISTINCT doc_id) AS docs FROM g GROUP BY gram")
 def _(spark, d):
     return search.trigrams(_docs(spark, d)).groupBy("gram").agg(F.sum(F.size("offsets")).alias("postings"), F.count("*").alias("docs"))
 
 
 @_query("txt_planned", f"WITH {DOCS} SELECT doc_id FROM docs WHERE contains(content, 'tht') AND contains(content, 'hti') AND contains(content, 'tio') AND contains(content, 'ion')")
 def _(spark, d):
-    return search.planned_candidates(search.trigrams(_docs(spark, d)), [PROBE])
+    return search.planned_candidates(search.trigrams(_docs(spark, d)), search.gram_plan(TextQuery(PROBE, case="sensitive")))
 
 
 @_query("txt_update", f"WITH {DOCS} SELECT doc_id, repo, path, md5(CASE WHEN doc_id % 10 = 0 THEN reverse(content) ELSE content END) AS digest FROM docs WHERE repo <> 'org/src4'")
@@ -305,11 +296,6 @@ def _(spark, d):
     return last_wins(rows, ["repo", "path"], "doc_id").select("repo", "path", "doc_id")
 
 
-@_query("ag_repo_report", f"WITH {DOCS}, f AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id) = 1 AS new FROM docs) SELECT repo, count(*) AS seen, count(*) AS accepted, CAST(0 AS BIGINT) AS rejected, CAST(coalesce(sum(CASE WHEN new THEN strlen(content) END), 0) AS BIGINT) AS new_bytes FROM f GROUP BY repo")
-def _(spark, d):
-    return dedup.repo_reports(_docs(spark, d))
-
-
 @_query("ag_totals", f"WITH {DOCS} SELECT coalesce({LANG}, 'total') AS lang, count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM docs GROUP BY {LANG} UNION ALL SELECT 'total', count(*), CAST(sum(strlen(content)) AS BIGINT) FROM docs")
 def _(spark, d):
     return _docs(spark, d).rollup(S.detect_lang(F.col("path")).alias("lang")).agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("bytes")).withColumn("lang", F.coalesce("lang", F.lit("total")))
@@ -344,12 +330,11 @@ def _(spark, d):
     return retrieval.cosine_top_k(_vectors(spark, d), _first_vector(spark, d), 10, F.col("label") == 3).withColumn("score", F.round("score", 6))
 
 
-@_query("hy_rrf", """WITH l AS (SELECT p_partkey AS id, 1.0 / (3 + row_number() OVER (ORDER BY p_size DESC, p_partkey)) AS lex FROM part WHERE p_partkey % 3 = 0), v AS (SELECT p_partkey AS id, 1.0 / (3 + row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)) AS dense FROM part WHERE p_partkey % 2 = 0)
+@_query("hy_rrf", """WITH l AS (SELECT p_partkey AS id, 1.0 / (3 + row_number() OVER (ORDER BY p_size DESC, p_partkey)) AS lex FROM part), v AS (SELECT l_partkey AS id, 1.0 / (3 + row_number() OVER (ORDER BY q DESC, l_partkey)) AS dense FROM (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 700))
 SELECT coalesce(l.id, v.id) AS id, round(coalesce(lex, 0)::DOUBLE, 9) AS lex, round(coalesce(dense, 0)::DOUBLE, 9) AS dense, round((coalesce(lex, 0) + coalesce(dense, 0))::DOUBLE, 9) AS score FROM l FULL JOIN v ON l.id = v.id""")
 def _(spark, d):
-    p = table(spark, d, "part")
-    lex = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"))
-    dense = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
+    lex = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"))
+    dense = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.sum("l_quantity").alias("score")).where("score > 700")
     return retrieval.rrf(lex, dense).select("id", *[F.round(c, 9).alias(c) for c in ("lex", "dense", "score")])
 
 
@@ -469,12 +454,12 @@ def _(spark, d):
     return out.select("repo_url", "seq", "stars", "forks", "last_push_days_ago", F.round("release_cadence", 6).alias("release_cadence"), "archived", F.array_join("sources", ",").alias("sources"))
 
 
-@_query("jn_federate", """WITH a AS (SELECT s_name AS repo, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS stars FROM supplier WHERE s_suppkey % 2 = 0), b AS (SELECT upper(s_name) AS repo, s_acctbal + 1 AS stars FROM supplier WHERE s_suppkey % 5 < 3)
+@_query("jn_federate", """WITH a AS (SELECT s_name AS repo, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS stars FROM supplier), b AS (SELECT 'SUPPLIER#' || right(c_name, 9) AS repo, c_acctbal AS stars FROM customer)
 SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.stars, b.stars) AS stars, concat_ws(',', CASE WHEN a.repo IS NOT NULL THEN 'local' END, CASE WHEN b.repo IS NOT NULL THEN 'remote' END) AS sources FROM a FULL JOIN b ON lower(a.repo) = lower(b.repo)""")
 def _(spark, d):
-    s = table(spark, d, "supplier")
-    a = s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("repo"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("stars"), F.array(F.lit("local")).alias("sources"))
-    b = s.where("s_suppkey % 5 < 3").select(F.upper("s_name").alias("repo"), (F.col("s_acctbal") + 1).alias("stars"), F.array(F.lit("remote")).alias("sources"))
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    a = s.select(F.col("s_name").alias("repo"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("stars"), F.array(F.lit("local")).alias("sources"))
+    b = c.select(F.concat(F.lit("SUPPLIER#"), F.right("c_name", F.lit(9))).alias("repo"), F.col("c_acctbal").alias("stars"), F.array(F.lit("remote")).alias("sources"))
     return rank.federate(a, b).withColumn("sources", F.array_join("sources", ","))
 
 
@@ -523,20 +508,18 @@ def _(spark, d):
     return search.pick_fields(search.repo_rows(repos), ["stars", "urls"]).withColumn("fields_returned", F.array_join("fields_returned", ","))
 
 
-@_query("ve_chunk_search")
-def _(spark, d):
-    return semantic.search_chunks(semantic.index_source(_docs(spark, d)), "thtion of the erentan", 10).select("id", F.round("score", 6).alias("score"), "locator")
-
-
 @_query("hy_hybrid")
 def _(spark, d):
     docs = _docs(spark, d)
     return semantic.hybrid_search(docs, semantic.index_source(docs), "the thtion of erentan", PROBE).select("id", F.round("score", 9).alias("score"))
 
 
+from quarry.plans import catalog_domain, catalog_sources  # noqa: E402, F401 - they register their queries
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

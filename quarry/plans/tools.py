@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +78,26 @@ def limit(kind: str, value: int | None) -> int:
     return value
 
 
+#: Parameters of each tool: name, JSON type, and whether it must be given.
+PARAMETERS = {
+    "search_code": [("probes", "array", True), ("limit", "integer", False), ("cursor", "string", False)],
+    "list_repos": [("names", "string", False), ("limit", "integer", False), ("cursor", "string", False)],
+    "repo_profile": [("repo", "string", True)],
+    "repo_tree": [("repo", "string", True), ("prefix", "string", False), ("glob", "string", False), ("limit", "integer", False)],
+    "fetch_file": [("repo", "string", True), ("path", "string", True), ("start", "integer", False), ("end", "integer", False)],
+    "fetch_docs": [("repo", "string", True), ("probe", "string", True)],
+    "guide": [],
+}
+
+
+def schemas() -> dict[str, dict]:
+    """The JSON schema of each tool's arguments; unknown ones are refused."""
+    return {
+        name: {"type": "object", "additionalProperties": False, "properties": {p: {"type": kind} for p, kind, _ in params}, "required": [p for p, _, must in params if must]}
+        for name, params in PARAMETERS.items()
+    }
+
+
 class Tools:
     """The engine behind tool calls, over a frame of documents (repo, path, content)."""
 
@@ -87,14 +106,10 @@ class Tools:
 
     def call(self, name: str, arguments: dict) -> dict:
         """Runs a tool; errors become an envelope with a kind, the input, and a correction."""
-        known: dict[str, tuple[Callable, set[str]]] = {
-            "search_code": (self.search_code, {"probes", "limit", "cursor"}), "list_repos": (self.list_repos, {"names", "limit", "cursor"}), "repo_profile": (self.repo_profile, {"repo"}),
-            "repo_tree": (self.repo_tree, {"repo", "prefix", "glob", "limit"}), "fetch_file": (self.fetch_file, {"repo", "path", "start", "end"}), "fetch_docs": (self.fetch_docs, {"repo", "probe"}), "guide": (self.guide, set()),
-        }
         try:
-            if name not in known:
-                raise ToolError("unknown_tool", f"unknown tool `{name}`", "known: " + ", ".join(known))
-            run, fields = known[name]
+            if name not in PARAMETERS:
+                raise ToolError("unknown_tool", f"unknown tool `{name}`", "known: " + ", ".join(PARAMETERS))
+            run, fields = getattr(self, name), {p for p, _, _ in PARAMETERS[name]}
             if extra := sorted(set(arguments) - fields):
                 raise ToolError("unknown_parameter", f"unknown parameter `{extra[0]}`", "known: " + ", ".join(sorted(fields)))
             return clean(run(**arguments))
@@ -102,8 +117,12 @@ class Tools:
             return {"error": {"kind": getattr(e, "kind", "bad_parameter"), "message": str(e), "input": arguments, "correction": getattr(e, "correction", getattr(e, "suggestion", ""))}}
 
     def _page(self, rows: DataFrame, order: list, at: int, n: int) -> dict:
-        got = [r.asDict(recursive=True) for r in rows.orderBy(*order).offset(at).limit(n + 1).collect()]
-        out = envelope(got[:n], rows.count(), len(got) > n, [])
+        rows = rows.persist()  # the page and the count read it
+        try:
+            got = [r.asDict(recursive=True) for r in rows.orderBy(*order).offset(at).limit(n + 1).collect()]
+            out = envelope(got[:n], rows.count(), len(got) > n, [])
+        finally:
+            rows.unpersist()
         if out["has_more"]:
             out["cursor"] = f"off:{at + len(out['results'])}"
         return out
@@ -122,10 +141,10 @@ class Tools:
 
     def _repo(self, repo: str) -> str:
         """The exact name, else one that differs in case only."""
-        found = [r.repo for r in self.docs.where(F.lower("repo") == repo.lower()).select("repo").distinct().limit(50).collect()]
-        if not found:
+        found = search.find_repo(self.docs, repo).first()
+        if found is None:
             raise ToolError("unknown_repo", f"no repo `{repo}`", "list_repos shows the names")
-        return repo if repo in found else sorted(found)[0]
+        return found.repo
 
     def repo_profile(self, repo: str) -> dict:
         name = self._repo(repo)

@@ -109,6 +109,50 @@ def test_search_matches_brute_force(spark):
     assert search.scored(spark.createDataFrame([("r", "big.txt", "x" * 1_048_577), ("r", "nul.txt", "needle\0")], "repo string, path string, content string"), Query("needle")).count() == 0
 
 
+def test_anchors_mean_the_ends_of_lines(spark):
+    docs = spark.createDataFrame([("r", "a.rs", "first\nuse serde::X;\nlast line"), ("r", "b.rs", "first\r\nuse serde::X;\r\n"), ("r", "c.rs", "a\u2028use serde::X;")], "repo string, path string, content string")
+    found = lambda p, case="sensitive": {(r.path, r.line_no) for r in search.line_matches(docs, Query(p, kind="regex", case=case)).collect()}
+    assert found("^use serde") == found("serde::X;$") - {("c.rs", 1)} == found("^USE serde::X;$", "insensitive") == {("a.rs", 2), ("b.rs", 2)}
+    assert found("^.*use serde") == {("a.rs", 2), ("b.rs", 2), ("c.rs", 1)}
+    assert {r.path for r in search.scored(docs, Query("a|use serde", kind="regex", case="sensitive")).collect()} == {"a.rs", "b.rs", "c.rs"}
+
+
+def test_required_literals_are_required():
+    from quarry.plans.language import required_literals
+
+    want = {"ab(cd)?ef": ["ab", "ef"], "serialize_(u8|u16)": ["serialize_u"], r"\.MustParse|ParseU": [], "foob?": ["foo"], "(?i)abc": [], "(?:foo)+bar": ["foo", "bar"], "x{0,3}yz": ["yz"]}
+    assert {p: required_literals(Query(p, kind="regex")) for p in want} == want
+
+
+def test_planned_search_equals_a_scan(spark, tmp_path):
+    random.seed(4)
+    texts = ["".join(random.choice("abcKks .*()_\n") for _ in range(60)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, "r", f"f{i}.rs", t) for i, t in enumerate(texts)], "doc_id long, repo string, path string, content string")
+    search.save_index(docs, str(tmp_path / "index"))
+    index = search.Index(spark, str(tmp_path / "index"))
+    for q in (Query("abc"), Query("kab"), Query("bca", case="sensitive"), Query("abc|bca", kind="regex", case="sensitive"), Query("ab.*cab$", kind="regex", case="sensitive")):
+        assert {tuple(r) for r in index.search(q).select("path", "score").collect()} == {tuple(r) for r in search.scored(docs, q).select("path", "score").collect()}
+    spark.createDataFrame([(99,)], "version int").write.mode("overwrite").json(str(tmp_path / "index" / "manifest"))
+    with pytest.raises(ValueError, match="version"):
+        search.Index(spark, str(tmp_path / "index"))
+
+
+def test_best_of_a_large_group_of_near_copies(spark):
+    random.seed(3)
+    base = [f"w{random.randint(0, 999999)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for j in random.sample(range(400), 1 + i % 4):
+            own[j] = f"e{random.randint(0, 999999)}"
+        rows.append((i, " ".join(own)))
+    got = {r.seq: (r.of, r.similarity) for r in dedup.classify(spark.createDataFrame(rows, "doc_id long, content string")).where("kind = 'near'").collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(396)} for _, t in rows]
+    for i in range(1, 300):
+        best = max(((len(sets[i] & sets[j]) / len(sets[i] | sets[j]), -j) for j in range(i)))
+        assert got[i] == (str(-best[1]), pytest.approx(best[0]))
+
+
 def test_score_components(spark):
     docs = spark.createDataFrame([("r", "src/needle.rs", "needle here\nmy needles"), ("r", "tests/a.rs", "needles")], "repo string, path string, content string")
     a, b = search.top(search.scored(docs, Query("needle"))).collect()
@@ -164,10 +208,16 @@ def test_streams(spark, tmp_path):
     land, store = str(tmp_path / "land"), str(tmp_path / "store")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    for rows in ([("a", "1", "old", 1), ("a", "2", "keep", 1), ("b", "1", "b", 1)], [("a", "1", "new", 2), ("a", "2", "bad\0", 3)]):
+    def apply(rows):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(land)
         streams.reindex(spark, land, store, str(tmp_path / "cp"), schema).awaitTermination()
-    assert {(r.repo, r.path, r.content) for r in spark.read.parquet(store).collect()} == {("a", "1", "new"), ("b", "1", "b")}
+        return {(r.repo, r.path, r.content) for r in streams.read_store(spark, store).collect()}
+
+    assert len(apply([("a", "1", "old", 1), ("a", "2", "keep", 1), ("b", "1", "b", 1)])) == 3
+    assert apply([("a", "1", "new", 2), ("a", "2", "bad\0", 5)]) == {("a", "1", "new"), ("b", "1", "b")}
+    assert apply([("a", "2", "late", 3)]) == {("a", "1", "new"), ("b", "1", "b")}  # older than the deletion
+    assert apply([("b", "1", None, 9)]) == {("a", "1", "new")}  # a repo without documents left
+    assert apply([("b", "1", "again", 10)]) == {("a", "1", "new"), ("b", "1", "again")}
 
 
 def test_cooldowns(spark, tmp_path):
@@ -181,9 +231,9 @@ def test_cooldowns(spark, tmp_path):
 
 def test_chunks_and_hybrid(spark):
     source = "import os\n\n# doc\n@deco\ndef retry_backoff(x):\n    return x\n\nclass A:\n    def run(self):\n        return os\n"
-    docs = spark.createDataFrame([("r", "a.py", source), ("r", "broken.py", "def ("), ("r", "b.rs", "fn retry_backoff() {}\n" * 70)], "repo string, path string, content string")
+    docs = spark.createDataFrame([("r", "a.py", source), ("r", "broken.py", "def ("), ("r", "b.txt", "fn retry_backoff() {}\n" * 70)], "repo string, path string, content string")
     got = {(r.path, r.kind, r.symbol, r.start_line, r.end_line) for r in semantic.chunks(docs).collect()}
-    assert got == {("a.py", "function", "retry_backoff", 3, 6), ("a.py", "class", "A", 8, 10), ("a.py", "method", "A.run", 9, 10), ("broken.py", "window", None, 1, 1), ("b.rs", "window", None, 1, 60), ("b.rs", "window", None, 51, 70)}
+    assert got == {("a.py", "function", "retry_backoff", 3, 6), ("a.py", "class", "A", 8, 10), ("a.py", "method", "A.run", 9, 10), ("broken.py", "window", None, 1, 1), ("b.txt", "window", None, 1, 60), ("b.txt", "window", None, 51, 70)}
     index = semantic.index_source(docs)
     v = index.where("symbol = 'A.run'").first().embedding
     assert len(v) == 256 and math.isclose(sum(x * x for x in v), 1.0, rel_tol=1e-5)
