@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_scratch, scratch
+from .shared import drop_scratch, scratch, write
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,5 +39,4 @@ def components(links: DataFrame) -> DataFrame:
 
 def _save(spark, df: DataFrame) -> tuple[str, DataFrame]:
     path = scratch(spark, "components")
-    df.write.parquet(path)
-    return path, spark.read.schema(df.schema).parquet(path)
+    return path, write(df, path)

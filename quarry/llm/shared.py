@@ -73,14 +73,24 @@ def _clean() -> None:
             return
 
 
+#: For scratch tables on a local or mounted file system (``file:``): no checksum file beside each part, so a third fewer
+#: processes are forked to set permissions of files. Other file systems ignore these settings.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read again."""
+    df.write.options(**(_PLAIN_FILES if path.startswith("file:") else {})).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = scratch(spark, what)
-    df.write.parquet(path)
+    out = write(df, scratch(spark, what))
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -102,6 +112,16 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: whatever they were called, also twice or with dots, no name of an operator's own clashes."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def with_fields(df: DataFrame, more: str) -> str:
+    """The schema of numbered columns and more fields, as text."""
+    return ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + [more])
+
+
 def text_key(col: str = "text"):
     """SHA-256 (hex) of the UTF-8 bytes; null counts as empty."""
     return F.sha2(F.coalesce(F.col(col), F.lit("")).cast("binary"), 256)
