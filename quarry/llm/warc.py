@@ -7,11 +7,13 @@ Reading takes index rows, sorts them by file and offset, joins ranges that touch
 and fetches each joined range with one read.
 
 Records whose payload another record also has become ``revisit`` records: of the records with equal
-payloads of at least ``min_bytes`` the one with the largest id holds the payload. Digests are
-grouped before anything wide moves, and only digests that occur twice meet the payloads again.
+payloads of at least ``min_bytes`` the one with the largest id holds the payload. Ids and digests are
+grouped and joined without payloads, and only records that become revisits meet the payloads again.
 
-Edge cases: a null payload is empty; rows with equal ids and payloads: all but one become revisits
-of that id; null ids sort below all others; null URLs are written as ``urn:page:<id>``; an
+Edge cases: a null payload is empty; rows with the largest id of equal payloads are all responses, even if that id
+is repeated; null ids sort below all others, and pages of which no copy has an id are responses; null URLs are written
+as ``urn:page:<id>``; a record ID is ``urn:page:<id>#<digest>``, so pages that share an id but no payload stay apart, and only rows equal in
+both share it; payloads of any length are one record; other columns of the input are ignored, whatever their names; an
 empty table gives no archives and no rows.
 """
 
@@ -27,11 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .shared import open_fs, saved, scratch, table
 
 INDEX = "id string, url string, file string, offset bigint, length bigint, payload_bytes bigint, digest string, record_type string, refers_to string"
 #: Ranges at most this far apart are fetched together; a joined range grows to at most MAX_READ bytes (or one record).
 GAP, MAX_READ = 64 << 10, 8 << 20
+#: At most about so many bytes of archives are read by one task.
+PIECE = 64 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -40,11 +45,11 @@ def record(id_: str, url: str, payload: bytes, digest: str, kind: str, refers_to
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{id_}>", f"WARC-Target-URI: {url}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{id_}#{digest}>", f"WARC-Target-URI: {url}", f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head[5:5] = [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head[5:5] = [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}#{digest}>"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -60,10 +65,13 @@ def assign(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
     """(id, url, html, digest, payload_bytes, record_type, refers_to) for each page."""
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).alias("id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    twice = base.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ids = base.join(twice, "digest", "left")
-    revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
-    return ids.select("id", "url", "html", "digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    # ids and digests alone decide; what they decide meets the payloads by id and digest, so copies of one page go to many tasks
+    narrow = saved(base.where(F.col("payload_bytes") >= min_bytes).select("id", "digest"), "page-digests")
+    twice = saved(narrow.groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL").select("digest", "keeper"), "repeated-digests")
+    other = narrow.join(twice, "digest").where(~F.col("id").eqNullSafe(F.col("keeper")))
+    revisits = saved(other.groupBy("id", "digest").agg(F.max("keeper").alias("refers_to")), "revisits").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    found = base.join(revisits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return found.select("id", "url", "html", "digest", "payload_bytes", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to")
 
 
 def write(assigned: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z", level: int = 4) -> DataFrame:
@@ -92,6 +100,7 @@ def write(assigned: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z
             yield pa.RecordBatch.from_arrays(cols, names=["id", "url", "file", "offset", "length", "payload_bytes", "digest", "record_type", "refers_to"])
         if out is not None:
             out.close()
+        K.trim()
 
     return saved(rows.mapInArrow(run, INDEX), "warc-index")
 
@@ -124,8 +133,9 @@ def read(index: DataFrame, *, with_payload: bool = False) -> DataFrame:
     All values come from the archives. Digest and size of a response are computed from its payload;
     those of a revisit come from its headers.
     """
-    piece = F.floor(F.col("offset") / F.lit(64 << 20))  # a large archive is read by several tasks
-    wanted = index.select("file", "offset", "length").repartition(F.col("file"), piece).sortWithinPartitions("file", "offset")
+    size = index.agg(F.countDistinct("file").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, size.files, -(-size.bytes // PIECE))  # a fixed number, as index rows are small and records are not
+    wanted = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
 
     def run(batches):
@@ -136,18 +146,24 @@ def read(index: DataFrame, *, with_payload: bool = False) -> DataFrame:
             fields, http, payload = parse(raw)
             own = fields["WARC-Type"] == "response"
             digest = hashlib.sha1(payload).hexdigest() if own else fields["WARC-Payload-Digest"].removeprefix("sha1:")
-            refers = None if own else fields["WARC-Refers-To"][10:-1]
-            out.append((fields["WARC-Record-ID"][10:-1], fields["WARC-Target-URI"], len(payload) if own else int(http["Content-Length"]), digest, fields["WARC-Type"], refers, payload)[: len(names)])
+            refers = None if own else _page(fields["WARC-Refers-To"])
+            out.append((_page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], len(payload) if own else int(http["Content-Length"]), digest, fields["WARC-Type"], refers, payload)[: len(names)])
             size += len(payload) * with_payload + 300
             if size > 4 << 20:
                 yield _batch(out, names)
                 out, size = [], 0
         if out:
             yield _batch(out, names)
+        K.trim()
 
     return wanted.mapInArrow(run, "id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload)
 
 
+def _page(record_id: str) -> str:
+    """The page id in ``<urn:page:ID#DIGEST>``."""
+    return record_id[10:-1].rpartition("#")[0]
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
