@@ -15,8 +15,9 @@ Supported: tokenizer files with a BPE model over byte-level symbols and word end
 normaliser and
 splitter are those of ``word_bpe_49k.json``; others are refused.
 
-Edge cases: null and empty texts have no ids; the special strings are cut out of raw texts first;
-texts of any length are handled whole.
+Edge cases: null and empty texts have no ids; the special strings are cut out of raw texts first; texts of any length
+are handled whole; repeated rows are encoded each for itself; of pairs of equal rank the leftmost merges first; an empty table
+gives no rows; a column named like the new one is replaced, all others are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels as K
-from .shared import table
+from .shared import numbered, table, with_fields
 
 #: Words that a worker's memo holds before it starts again; about 60 bytes each.
 MEMO_WORDS = 1_000_000
@@ -416,8 +417,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
     """``docs`` with the ids of each text as an array; ``path`` must exist on every executor."""
     path = path or default_path()
     docs = docs.drop(*([ids_col] if ids_col != text_col else []))
-    at = docs.columns.index(text_col)
-    fields = [(f.name, f.dataType.simpleString()) for f in docs.schema]
+    at, plain = docs.columns.index(text_col), numbered(docs)
 
     def run(batches):
         c = codec(path)
@@ -425,27 +425,26 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
             for batch in chunks(whole, at):
                 ids, n = c.encode(batch.column(at).to_pylist())
                 arr = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, arr], names=[*batch.schema.names, ids_col])
+                yield pa.RecordBatch.from_arrays([*batch.columns, arr], names=[*batch.schema.names, "ids"])
         K.trim()
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, (ids_col, "array<int>")]))
+    return plain.mapInArrow(run, with_fields(plain, "ids array<int>")).toDF(*docs.columns, ids_col)
 
 
 def decode(docs: DataFrame, *, ids_col: str = "ids", path: str | None = None, text_col: str = "decoded") -> DataFrame:
     """``docs`` with the decoded text of an array of ids; null ids decode to the empty text."""
     path = path or default_path()
     docs = docs.drop(*([text_col] if text_col != ids_col else []))
-    at = docs.columns.index(ids_col)
-    fields = [(f.name, f.dataType.simpleString()) for f in docs.schema]
+    at, plain = docs.columns.index(ids_col), numbered(docs)
 
     def run(batches):
         c = codec(path)
         for batch in batches:
             texts = [c.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
         K.trim()
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, (text_col, "string")]))
+    return plain.mapInArrow(run, with_fields(plain, "decoded string")).toDF(*docs.columns, text_col)
 
 
 def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

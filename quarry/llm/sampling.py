@@ -13,8 +13,9 @@ neighbours in id order into one partition; the samples themselves are aggregated
 
 Edge cases: null and empty texts and texts without words have the empty fingerprint; two empty
 fingerprints have a likeness of 1, an empty and another one 0; equal ids follow each other in the
-order of their texts, null ids come first; a single document is its own next one; extra
-columns are ignored.
+order of their texts, null ids come first; a single document is its own next one; texts are taken whole, whatever their
+length; of equal smallest values the hash of (term, t) decides; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
