@@ -39,7 +39,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, seeds: list[int] | None = No
     known = ids.where(F.col("id").isin(wanted)).count() if wanted else 0
     v = F.when(F.col("id").isin(wanted), 1.0 / known).otherwise(0.0) if known else F.lit(1.0 / max(1, count))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    nodes_ = ids.withColumn("v", v).join(out.withColumnRenamed("src", "id"), "id", "left").persist()
+    nodes_ = ids.withColumn("v", v).join(out.withColumnRenamed("src", "id"), "id", "left").repartition("id").persist()
     links = edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("w")).repartition("src").persist()
     if iterations > checkpoint_every and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
@@ -50,7 +50,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, seeds: list[int] | None = No
         r = F.col("v") * (1 - damping) + (F.coalesce("m", F.lit(0.0)) + F.col("v") * lost) * damping
         new = nodes_.join(flow, "id", "left").select("id", r.alias("r"), F.col("out").isNull().alias("ends"))
         done += 1
-        new = new.checkpoint() if done % checkpoint_every == 0 and done < iterations else new.persist()
+        new = new.persist()
+        if done % checkpoint_every == 0 and done < iterations:
+            new = new.checkpoint()
         if tol is not None:
             delta = new.join(rank.select("id", F.col("r").alias("old")), "id").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
             converged = delta < tol
