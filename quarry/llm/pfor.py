@@ -2,7 +2,7 @@
 
 File format (little endian)::
 
-    "QPF1" | block ... | block starts u64[n_blocks] | documents: n_tokens u32[n_docs] | n_blocks u64, n_ids u64, n_docs u64, "QPF1"
+    "QPF2" | block ... | block starts u64[n_blocks] | n_tokens u32[n_docs] | document ids: Arrow stream | n_blocks, n_ids, n_docs, bytes of the stream: u64 each | "QPF2"
 
 Blocks hold 512 ids (the last fewer). A block is ``minimum u32, width u8, n_exceptions u16, n_ids
 u16``, the ids less the minimum packed at ``width`` bits (values too wide leave their low bits),
@@ -11,11 +11,14 @@ then positions u16 and high parts u32 of the exceptions. The width is the bit le
 range of ids.
 
 Writing is one range-partitioned pass in ascending id order: each partition becomes one file, whose
-name is unique to the task attempt. A manifest row per file is written to Parquet after it; only
-files in the manifest are read, so a task that runs twice does no harm.
-
-Edge cases: a null text is empty and has just the end id; rows with equal ids keep together in the
-order of their texts; null ids come first; an empty table gives no files and no rows.
+name is unique to the task attempt. A manifest row per file (its first and last id, and counts) is written to
+Parquet after it; only files in the manifest are read, so a task that runs twice does no harm. Reading
+takes as many tasks as there are files.
+
+Edge cases: a null text is empty and has just the end id; texts are encoded whole, whatever their length;
+rows with equal ids stay in the order of their texts' hashes (rows that are equal altogether in any order, which
+cannot be told apart); null ids come first; ids may have any type that sorts; an empty table gives no files and no
+rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from .bpe import chunks, codec, default_path
 from .shared import open_fs, saved, scratch, table
 
 BLOCK = 512
-MAGIC = b"QPF1"
+MAGIC = b"QPF2"
 _HEAD = np.dtype([("minimum", "<u4"), ("width", "u1"), ("n_exceptions", "<u2"), ("n_ids", "<u2")])
 
 
@@ -118,10 +121,15 @@ class Writer:
         self.at = int(lens[-1])
         self.out.write(b"".join(blocks))
 
-    def close(self) -> None:
+    def close(self, doc_ids: pa.Array) -> None:
         self._blocks(self.rest)
         starts = np.concatenate(self.starts).astype("<u8")
-        self.out.write(starts.tobytes() + np.array(self.sizes, "<u4").tobytes() + np.array([len(starts), self.n, len(self.sizes)], "<u8").tobytes() + MAGIC)
+        batch = pa.RecordBatch.from_arrays([doc_ids], names=["id"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        named = sink.getvalue().to_pybytes()
+        self.out.write(starts.tobytes() + np.array(self.sizes, "<u4").tobytes() + named + np.array([len(starts), self.n, len(self.sizes), len(named)], "<u8").tobytes() + MAGIC)
         self.out.close()
 
 
@@ -129,13 +137,15 @@ class Reader:
     def __init__(self, uri: str):
         fs, path = open_fs(uri)
         self.file = fs.open_input_file(path)
-        tail = self.file.read_at(28, self.file.size() - 28)
-        if tail[24:] != MAGIC:
+        size = self.file.size()
+        tail = self.file.read_at(36, size - 36)
+        if tail[32:] != MAGIC:
             raise ValueError(f"{uri}: not a token file")
-        self.n_blocks, self.n_ids, self.n_docs = np.frombuffer(tail[:24], "<u8").astype(np.int64).tolist()
-        self.end = self.file.size() - 28 - 4 * self.n_docs - 8 * self.n_blocks
+        self.n_blocks, self.n_ids, self.n_docs, named = np.frombuffer(tail[:32], "<u8").astype(np.int64).tolist()
+        self.end = size - 36 - named - 4 * self.n_docs - 8 * self.n_blocks
         self.starts = np.frombuffer(self.file.read_at(8 * self.n_blocks, self.end), "<u8").astype(np.int64)
         self.sizes = np.frombuffer(self.file.read_at(4 * self.n_docs, self.end + 8 * self.n_blocks), "<u4").astype(np.int64)
+        self.doc_ids = pa.ipc.open_stream(self.file.read_at(named, size - 36 - named)).read_next_batch().column(0)
 
     def ids(self, begin: int, end: int) -> np.ndarray:
         """Ids begin..end, by way of the block index."""
@@ -148,7 +158,7 @@ class Reader:
 
 
 def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None, percentile: float = 0.9) -> DataFrame:
-    """Writes the token ids of ``docs`` in ascending id order; returns the manifest (part, file, ids array, n_tokens)."""
+    """Writes the token ids of ``docs`` in ascending id order; returns the manifest: (part, file, first_id, last_id, n_docs, n_tokens, base), base being the tokens of the files before."""
     path = path or default_path()
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -168,21 +178,19 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
                 writer.add(np.insert(flat, np.cumsum(n), end_id), (n + 1).tolist())
                 ids_seen.append(batch.column(0))
         if writer is not None:
-            writer.close()
             ids = pa.concat_arrays(ids_seen)
+            writer.close(ids)
             K.trim()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([uri]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([writer.n], pa.int64())], names=["part", "file", "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([uri]), ids.slice(0, 1), ids.slice(len(ids) - 1), pa.array([len(ids)], pa.int64()), pa.array([writer.n], pa.int64())], names=["part", "file", "first_id", "last_id", "n_docs", "n_tokens"])
 
-    manifest = saved(ordered.mapInArrow(run, f"part bigint, file string, ids array<{id_type}>, n_tokens bigint"), "token-manifest")
+    manifest = saved(ordered.mapInArrow(run, f"part bigint, file string, first_id {id_type}, last_id {id_type}, n_docs bigint, n_tokens bigint"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one narrow row a file
-    base = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return manifest.join(base, "part")
+    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read(manifest: DataFrame, *, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Per document, from the files: start (ids before it), n_tokens, ids_crc32, and the ids themselves if asked for."""
-    id_type = manifest.schema["ids"].dataType.elementType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    """Per document, from the files that ``manifest`` names: its id, start (ids before it), n_tokens, ids_crc32, and the ids themselves if asked for."""
+    id_type = manifest.schema["first_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -197,15 +205,17 @@ def read(manifest: DataFrame, *, id_col: str = "doc_id", with_ids: bool = False)
                     cuts = np.concatenate(([0], np.cumsum(sizes)))
                     raw = memoryview(ids.astype("<u4").tobytes())
                     cols = [
-                        pa.array(row["ids"][lo:hi], kind), pa.array(cuts[:-1] + at + row["base"], pa.int64()), pa.array(sizes, pa.int64()),
+                        reader.doc_ids.slice(lo, hi - lo), pa.array(cuts[:-1] + at + row["base"], pa.int64()), pa.array(sizes, pa.int64()),
                         pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.int64()),
                     ]
                     if with_ids:
                         cols.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(cols, names=[id_col, "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
                     lo, at = hi, int(ends[hi - 1])
+        K.trim()
 
-    files = manifest.repartition(F.col("file"))
+    # a fixed number of partitions, which adaptive execution does not merge: the rows are small, the files are not
+    files = manifest.select("part", "file", "base").repartitionByRange(max(1, manifest.count()), "part")
     return files.mapInArrow(run, f"`{id_col}` {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
