@@ -11,15 +11,20 @@ segment, and a text has about one segment per 150 bytes.
 
 1. Segments are counted by a 128-bit hash of their bytes. A segment that occurs twice is repeated as
    a whole, in all its windows; copies of texts and the inside of popular passages collapse here by partial
-   aggregation, however often they occur.
+   aggregation, however often they occur. (No transform could see such a group whole: it has no bound.)
 2. Different segments that share an anchor go to the same bucket, one representative each.
    Buckets of many anchors are packed to about BUCKET bytes, and the transform decides their windows.
-3. An anchor with more than HOT different segments would be a hot task. Its windows are compared by
-   128-bit hashes instead, spread over all tasks: exact as well, only without the transform.
-
-Edge cases: null texts are empty; texts under LENGTH bytes keep all bytes; rows with equal texts
-(whatever their ids, null ids too) are occurrences of each other, so both lose all bytes that LENGTH
-windows cover; matches never cross texts; zero bytes are ordinary bytes.
+3. The segments of an anchor that are over LARGE bytes together are divided first, as often as needed: windows by the
+   number of bytes that they have before the anchor, in classes of 50, then of 7, then of 1. Windows of one class
+   can only be equal if their segments agree on all the bytes that every window of the class has, so these bytes are the
+   key of a smaller bucket, which holds the segments cut to the class. Segments that are equal
+   when cut collapse as in step 1; buckets of up to LARGE bytes go to the transform; others are divided again. At
+   a class of one window the key is the window, so nothing is left. No bucket is larger, whatever the input.
+
+Edge cases: null texts are empty; texts under LENGTH bytes keep all bytes; texts of any length are taken whole; rows with
+equal texts (whatever their ids, null ids too) are occurrences of each other, so both lose all bytes that LENGTH
+windows cover; matches never cross texts; zero bytes are ordinary bytes; an empty table gives no rows; columns named
+``removed``, ``n_bytes`` or ``kept`` are replaced, all others are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import saved, table, text_key
+from .shared import numbered, saved, table, text_key, with_fields
 
-LENGTH, ANCHOR, BUCKET, HOT = 400, 100, 3 << 16, 4000
+LENGTH, ANCHOR, BUCKET, LARGE = 400, 100, 3 << 16, 1 << 20
+#: Windows of a class, by round of division.
+CLASSES = (50, 7, 1)
 #: Steps in which the surroundings of an anchor are compared before a bucket is transformed.
 STEPS = 6
 U = np.uint64
@@ -225,7 +232,7 @@ def _surroundings(at: int, raw: bytes, length: int, anchor: int) -> list[tuple[i
 
 def _alike(rows: list, length: int, anchor: int) -> list:
     """Of the segments of one anchor those that share a string around it with another."""
-    keys, count = [_surroundings(r[-2], r[-1], length, anchor) for r in rows], {}
+    keys, count = [_surroundings(r[3], r[-1], length, anchor) for r in rows], {}
     for own in keys:
         for x in own:
             count[x] = count.get(x, 0) + 1
@@ -233,15 +240,15 @@ def _alike(rows: list, length: int, anchor: int) -> list:
 
 
 def _by_transform(parts: DataFrame, length: int, k: int) -> DataFrame:
-    """Decides segments (anchor, s1, s2, n, at, bytes), packed to buckets of whole anchors."""
+    """Decides segments (bucket, s1, s2, n, at, shift, bytes), packed to buckets of whole ones; spans begin at ``shift``."""
 
     def decide(rows):
         hits = long_repeats([r[-1] for r in rows], length)
-        out = [(r[0], r[1], _runs(h, length)) for r, h in zip(rows, hits, strict=True) if r[2] == 1 and len(h)]
+        out = [(r[0], r[1], _runs(h + r[4], length)) for r, h in zip(rows, hits, strict=True) if r[2] == 1 and len(h)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], _SPANS)], names=["s1", "s2", "spans"])
 
     def run(batches):
-        bucket, group, size, anchor = [], [], 0, None
+        bucket, group, size, now = [], [], 0, None
 
         def close():
             nonlocal size
@@ -252,70 +259,97 @@ def _by_transform(parts: DataFrame, length: int, k: int) -> DataFrame:
             group.clear()
 
         for batch in batches:
-            for a, *r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a != anchor:
+            for key, *r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
                     close()
                     if size >= BUCKET:
                         yield decide(bucket)
                         bucket.clear()
                         size = 0
-                anchor = a
+                now = key
                 group.append(r)
         close()
         if bucket:
             yield decide(bucket)
         K.trim()
 
-    ordered = parts.select("anchor", "s1", "s2", "n", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    ordered = parts.select("bucket", "s1", "s2", "n", "at", "shift", "bytes").repartition("bucket").sortWithinPartitions("bucket")
     return ordered.mapInArrow(run, _FOUND)
 
 
-def _by_windows(parts: DataFrame, length: int, k: int) -> DataFrame:
-    """Decides segments of hot anchors by hashes of their windows, after those that share no surroundings have gone."""
+def _classes(at: int, size: int, first: int, count: int, width: int, length: int, k: int) -> list[tuple[int, int, int, int, int]]:
+    """Classes of the windows of a segment: (number, begin and end of the key, begin and end of the segment cut to the class).
 
-    def surroundings(batches):
-        for batch in batches:
-            out = [(s1, s2, x) for anchor, s1, s2, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in ((anchor, *y) for y in _surroundings(at, raw, length, k))]
-            keys = [int.from_bytes(hashlib.blake2b(x[2], digest_size=8, key=f"{x[0]} {x[1]}".encode()).digest(), "little", signed=True) for _, _, x in out]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array(keys, pa.int64())], names=["s1", "s2", "key"])
+    A class holds the windows with first + number * width bytes before the anchor, or up to width - 1 more; only
+    windows with first..first + count - 1 bytes before it are asked for.
+    """
+    least, most = max(first, at - (size - length), 0), min(first + count - 1, at, length - k)
+    out = []
+    for c in range((least - first) // width, (most - first) // width + 1) if least <= most else ():
+        lo, hi = first + c * width, min(first + (c + 1) * width, first + count) - 1
+        out.append((lo, at - lo, at + length - hi, at - min(hi, most), at + length - max(lo, least)))
+    return out
 
-    around = parts.select("anchor", "s1", "s2", "at", "bytes").mapInArrow(surroundings, "s1 bigint, s2 bigint, key bigint")
-    met = around.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    alive = around.join(met, "key", "left_semi").select("s1", "s2").distinct()
-    parts = parts.join(alive, ["s1", "s2"], "left_semi")
 
-    def hashes(batches):
-        for batch in batches:
-            for s1, s2, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                m = len(raw) - length + 1
-                d = np.frombuffer(b"".join([hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(m)]), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([s1] * m, pa.int64()), pa.array([s2] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32))], names=["w1", "w2", "s1", "s2", "n", "at"])
+def _divided(items: DataFrame, width: int, length: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(decided spans, smaller items with the bytes of their buckets as ``total``) of items (bucket, s1, s2, n, at, shift, first, count, bytes).
 
-    w = parts.select("s1", "s2", "n", "bytes").mapInArrow(hashes, "w1 bigint, w2 bigint, s1 bigint, s2 bigint, n bigint, at int")
-    again = w.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
-    hit = w.where("n = 1").join(again, ["w1", "w2"], "left_semi").groupBy("s1", "s2").agg(F.collect_list("at").alias("at"))
+    ``count`` windows are asked for, from those with ``first`` bytes before the anchor. ``n`` over 1 marks segments that others may equal, but that are decided.
+    """
+    names = ["s1", "s2", "shift", "n", "first", "k1", "k2", "d1", "d2", "a", "b"]
+    hashed = lambda *x: np.frombuffer(hashlib.blake2b(x[-1], digest_size=16, key=" ".join(map(str, x[:-1])).encode()).digest(), np.int64).tolist()
 
-    def spans(batches):
+    def keys(batches):
         for batch in batches:
-            out = [_runs(np.sort(np.array(x)), length) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _SPANS)], names=["s1", "s2", "spans"])
+            out = []
+            for bucket, s1, s2, n, at, shift, first, count, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for lo, ka, kb, a, b in _classes(at, len(raw), first, count, width, length, k):
+                    out.append((s1, s2, shift, n, lo, *hashed(bucket, lo, raw[ka:kb]), *hashed(at - a, raw[a:b]), a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names=names)
+        K.trim()
 
-    return hit.mapInArrow(spans, _FOUND)
+    columns = ["bucket", "s1", "s2", "n", "at", "shift", "first", "count", "bytes"]
+    own = saved(items.select(*columns).mapInArrow(keys, ", ".join(f"{c} bigint" for c in names)), "classes")
+    alike = own.groupBy("k1", "k2", "d1", "d2").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.struct("s1", "s2", "shift", "first", "a", "b")).alias("x"))
+    alike = saved(alike, "alike-classes")
+    same = alike.where("c > 1").select("k1", "k2", "d1", "d2")
+    decided = own.where("n = 1").join(same, ["k1", "k2", "d1", "d2"]).select("s1", "s2", F.array(F.struct((F.col("a") + F.col("shift")).cast("int").alias("a"), (F.col("b") + F.col("shift")).cast("int").alias("b"))).alias("spans"))
+    open_ = (F.col("c") == 1) & (F.col("n") == 1)
+    buckets = alike.groupBy("k1", "k2").agg(F.count("*").alias("kinds"), F.count_if(open_).alias("open"), F.sum(F.col("x.b") - F.col("x.a")).alias("total")).where("kinds > 1 AND open > 0")
+    wanted = alike.join(saved(buckets.select("k1", "k2", "total"), "class-buckets"), ["k1", "k2"])
+    wanted = wanted.select(F.xxhash64("k1", "k2").alias("bucket"), "x.s1", "x.s2", "x.shift", F.when(open_, 1).otherwise(2).cast("long").alias("n"), "x.first", "x.a", "x.b", "total")
+    parts = items.select("s1", "s2", "shift", "at", "bytes").join(wanted, ["s1", "s2", "shift"]).where("first <= at")
+    cut = F.substring("bytes", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int"))
+    return decided, parts.select("bucket", "s1", "s2", "n", (F.col("at") - F.col("a")).alias("at"), (F.col("shift") + F.col("a")).alias("shift"), "first", F.lit(width).cast("long").alias("count"), "total", cut.alias("bytes"))
+
+
+def _decided(parts: DataFrame, length: int, k: int, large: int) -> DataFrame:
+    """(s1, s2, spans) of parts (bucket, s1, s2, n, at, total, bytes): by transforms, of divided buckets where they are over ``large`` bytes."""
+    items = parts.withColumn("shift", F.lit(0).cast("long")).withColumn("first", F.lit(0).cast("long")).withColumn("count", F.lit(length - k + 1).cast("long"))
+    out = _by_transform(items.where(F.col("total") <= large), length, k)
+    for width in CLASSES:
+        items = items.where(F.col("total") > large)
+        if items.isEmpty():
+            break
+        decided, items = _divided(items, width, length, k)
+        items = saved(items, "class-parts")
+        out = out.union(decided).union(_by_transform(items.where((F.col("total") <= large) if width > 1 else F.lit(True)), length, k))
+    return out
 
 
 # -- the operator --------------------------------------------------------------------------------
 
 
-def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, large: int = LARGE) -> DataFrame:
     """(t, u, spans): for each distinct text with repeats, the byte ranges that they cover (may overlap)."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(text).select(*text_ids("text"), "text")
     segs = _segment_rows(base, length, anchor)
     distinct = saved(segs.groupBy("s1", "s2", "anchor").agg(F.count("*").alias("n"), F.first("t").alias("t"), F.first("start").alias("start"), F.first("size").alias("size"), F.first("at").alias("at")), "segments")
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    wanted = distinct.join(shared.select("anchor", "kinds"), "anchor")
+    shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum("size").alias("total")).where("kinds > 1 and least = 1")
+    wanted = distinct.join(saved(shared.select("anchor", "total"), "shared-anchors"), "anchor")
     texts = base.groupBy("t", "u").agg(F.first("text").alias("text"))
-    asked = wanted.groupBy("t").agg(F.collect_list(F.struct("start", "size", "s1", "s2", "n", "anchor", "kinds", "at")).alias("asked"))
+    asked = wanted.groupBy("t").agg(F.collect_list(F.struct("start", "size", "s1", "s2", "n", "anchor", "total", "at")).alias("asked"))
 
     def cut(batches):
         for batch in batches:
@@ -326,13 +360,14 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, a
                 for a in ask:
                     part = bytes(view[a["start"] : a["start"] + a["size"]])
                     if hashlib.blake2b(part, digest_size=16).digest() == np.array([a["s1"], a["s2"]], np.int64).tobytes():
-                        out.append((a["anchor"], a["kinds"], a["s1"], a["s2"], a["n"], a["at"], part))
+                        out.append((a["anchor"], a["total"], a["s1"], a["s2"], a["n"], a["at"], part))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["anchor", "kinds", "s1", "s2", "n", "at", "bytes"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["bucket", "total", "s1", "s2", "n", "at", "bytes"])
+        K.trim()
 
-    parts = saved(texts.join(asked, "t").select("text", "asked").mapInArrow(cut, "anchor bigint, kinds bigint, s1 bigint, s2 bigint, n bigint, at bigint, bytes binary"), "parts")
+    parts = saved(texts.join(asked, "t").select("text", "asked").mapInArrow(cut, "bucket bigint, total bigint, s1 bigint, s2 bigint, n bigint, at bigint, bytes binary"), "parts")
     whole = distinct.where("n > 1").select("s1", "s2", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("spans"))
-    found = saved(_by_transform(parts.where(F.col("kinds") <= hot), length, anchor).union(_by_windows(parts.where(F.col("kinds") > hot), length, anchor)).union(whole), "repeats")
+    found = saved(_decided(parts, length, anchor, large).union(whole), "repeats")
     placed = segs.select("t", "u", "start", "s1", "s2").join(found, ["s1", "s2"])
     span = F.explode("spans")
     placed = placed.select("t", "u", "start", span.alias("x")).select("t", "u", F.struct((F.col("start") + F.col("x.a")).alias("a"), (F.col("start") + F.col("x.b")).alias("b")).alias("x"))
@@ -341,10 +376,10 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, a
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """``docs`` with removed (merged byte ranges), n_bytes, and kept: the remaining bytes."""
-    docs = docs.drop("t", "u", "spans", "removed", "n_bytes", "kept")
-    found = saved(repeated(docs, text_col=text_col, length=length, **options), "spans")
-    keyed = docs.select("*", *text_ids(text_col)).join(found, ["t", "u"], "left").select(*docs.columns, "spans")
-    at = docs.columns.index(text_col)
+    docs = docs.drop("removed", "n_bytes", "kept")
+    found = saved(repeated(docs.select(F.col(text_col).alias("text")), text_col="text", length=length, **options), "spans")
+    at, plain = docs.columns.index(text_col), numbered(docs)
+    keyed = plain.select("*", *text_ids(f"c{at}")).join(found, ["t", "u"], "left").select(*plain.columns, "spans")
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches):
@@ -362,9 +397,10 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LEN
                 removed.append(runs)
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(removed, kind), pa.array(np.diff(off), pa.int64()), pa.array(kept, pa.binary())], names=[*batch.schema.names[:-1], "removed", "n_bytes", "kept"])
+        K.trim()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed.mapInArrow(run, f"{fields}, removed array<struct<a:bigint,b:bigint>>, n_bytes bigint, kept binary")
+    out = keyed.mapInArrow(run, with_fields(plain, "removed array<struct<a:bigint,b:bigint>>, n_bytes bigint, kept binary"))
+    return out.toDF(*docs.columns, "removed", "n_bytes", "kept")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
