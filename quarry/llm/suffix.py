@@ -344,7 +344,7 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, a
     """(t, u, spans): for each distinct text with repeats, the byte ranges that they cover (may overlap)."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(text).select(*text_ids("text"), "text")
-    segs = _segment_rows(base, length, anchor)
+    segs = saved(_segment_rows(base, length, anchor), "all-segments")
     distinct = saved(segs.groupBy("s1", "s2", "anchor").agg(F.count("*").alias("n"), F.first("t").alias("t"), F.first("start").alias("start"), F.first("size").alias("size"), F.first("at").alias("at")), "segments")
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum("size").alias("total")).where("kinds > 1 and least = 1")
     wanted = distinct.join(saved(shared.select("anchor", "total"), "shared-anchors"), "anchor")
