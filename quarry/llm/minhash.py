@@ -19,7 +19,9 @@ Classes are connected components of the links.
 
 Equal texts are one text from the start (64 bits of SHA-256). Edge cases: null and empty texts and
 texts without words have no shingle and only group with equal texts; texts of one to four words are
-one shingle; rows that repeat an id keep one output row each; extra columns are ignored.
+one shingle; texts are taken whole, whatever their length; rows that repeat an id keep one output row each; a similarity of
+exactly the threshold counts; an empty table gives no rows. ``near_duplicates`` ignores other columns, ``deduplicate``
+carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import saved, table, text_key
+from .shared import numbered, saved, table, text_key
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 30, 5
 PAIRED, BLOCK, COLUMNS = 32, 384, 4096
@@ -145,7 +147,7 @@ def band_keys(texts: DataFrame, *, bands: int = BANDS, rows: int = ROWS, shingle
 def mates(keys: DataFrame) -> DataFrame:
     """(key, tid, n): the distinct texts of each bucket of n > 1 texts."""
     keys = saved(keys.distinct(), "distinct-bands")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")  # a table, so that the join can split a large bucket
     return saved(keys.join(sizes.hint("merge"), "key").select("key", "tid", "n"), "mates")
 
 
@@ -340,11 +342,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id (a null id only if there is no other; of equal ids any)."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("tid").alias("_tid"), F.first("class_id").alias("_id"))
-    wide = docs.withColumn("_tid", text_id(text_col)).join(keep.select("_tid", F.col("_id").alias("_keep")), "_tid")
-    wide = wide.where(F.col(id_col).eqNullSafe(F.col("_keep")))
-    return wide.dropDuplicates(["_tid"]).select(*docs.columns)
+    plain, ident, text = numbered(docs), f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    found = near_duplicates(plain.select(ident, text), id_col=ident, text_col=text, **options)
+    keep = found.where(F.col(ident).eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("tid").alias("tid"), F.first("class_id").alias("keep"))
+    wide = plain.withColumn("tid", text_id(text)).join(keep.select("tid", "keep"), "tid").where(F.col(ident).eqNullSafe(F.col("keep")))
+    return wide.dropDuplicates(["tid"]).select(*plain.columns).toDF(*docs.columns)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
