@@ -7,15 +7,22 @@ posterior(l) ~ prior of the host(l) * P(text | l) * P(declared markup language |
   ``WITNESSES`` of them at most. The class ``und`` has uniform trigrams and stands for texts of no known language.
 * Declared language (``<html lang>`` or a column): right in DECLARED_RIGHT of cases, else any other.
 * Address: a country suffix or a path segment that names a language, right in SUFFIX_RIGHT of cases.
-* Host prior: soft counts of text and declaration, summed per host and per domain over all rows, smoothed
-  hierarchically: host towards domain towards the whole, with SMOOTH pseudo-rows at each level. The host
+* Host prior: soft counts by the texts alone, summed per host and per domain over all rows, smoothed
+  hierarchically: host towards domain towards the whole, with SMOOTH pseudo-rows at each level. A row's own count
+  is taken out of its host's before it is used. The host
   table is joined by Spark's own choice of strategy, so it is broadcast only while it is small.
 
+So nothing is evidence twice: the text, the declaration and the address of a row count once each, and where a label
+column also serves as the declaration, rows that train the text model declare nothing (``Model.cut``); at most half of
+the labelled rows train it.
+
 A row is accepted when its best class is a language with a posterior of MIN_POSTERIOR or more.
 
 Edge cases: null or empty texts, and texts without letters, are ``und`` and not accepted; missing
-declarations, addresses and hosts are no evidence; repeated rows each count for their host; no
-labelled rows leave only ``und``; columns that clash with the results are replaced.
+declarations, addresses and hosts are no evidence; texts of any length are scored whole; of classes with equal posteriors
+the first by name wins; repeated rows each count for their host; no
+labelled rows leave only ``und``; an empty table gives no rows; columns named like the results are replaced, all others
+carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import saved, table
+from .shared import saved, table, with_fields
 
 SAMPLE, BUCKETS, WITNESSES = 4000, 1 << 14, 120
 DECLARED_RIGHT, SUFFIX_RIGHT, SMOOTH, MIN_POSTERIOR, UNKNOWN_PRIOR = 0.9, 0.8, 20.0, 0.5, 0.02
@@ -54,20 +61,12 @@ def _trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Model:
     """Log likelihoods (BUCKETS x classes); the last class is ``und``."""
 
-    def __init__(self, langs: list[str], logs: np.ndarray):
-        self.langs, self.logs = [*langs, "und"], logs
-
-    @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> Model:
-        langs = sorted({lang for lang, text in rows if lang and text})
-        counts = np.full((BUCKETS, len(langs)), 0.05)
-        for k, lang in enumerate(langs):
-            data, off = K.column_bytes(pa.array([t for lb, t in rows if lb == lang and t], pa.large_string()))
-            for lo, hi in K.slices(off):
-                bucket, _ = _trigrams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                counts[:, k] += np.bincount(bucket, minlength=BUCKETS)
+    def __init__(self, langs: list[str], counts: np.ndarray, cut: int = -(1 << 63)):
+        """``counts``: (BUCKETS x languages) trigrams seen. ``cut``: labelled rows with hashes up to it have trained the model."""
+        counts = counts + 0.05
         logs = np.log(counts / counts.sum(axis=0)) if langs else np.zeros((BUCKETS, 0))
-        return cls(langs, np.hstack([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))]).astype(np.float32))
+        self.langs, self.cut = [*langs, "und"], cut
+        self.logs = np.hstack([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))]).astype(np.float32)
 
     def score(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows x classes) log likelihoods, and which rows have any letters."""
@@ -83,15 +82,40 @@ class Model:
         return out, has
 
 
+def label_hash(text_col: str, lang_col: str) -> Column:
+    """Decides whether a labelled row trains the model: it can if this is negative."""
+    return F.xxhash64(text_col, lang_col)
+
+
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits the text model on at most ``sample`` different labelled texts, those with the smallest hashes."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    rows = rows.withColumn("h", F.xxhash64("t", "l"))
+    """Fits the text model on at most ``sample`` different labelled texts: those with the smallest hashes, of half of all texts.
+
+    Trigrams are counted on the executors; the driver gets at most BUCKETS counts per language.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), label_hash(text_col, lang_col).alias("h")).where("h < 0")
     cut = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if cut is None:
-        return Model.fit([])
-    chosen = rows.where(F.col("h") <= cut).groupBy("h", "l").agg(F.first("t").alias("t"))
-    return Model.fit([(r.l, r.t) for r in chosen.orderBy("h").limit(sample).collect()])
+        return Model([], np.zeros((BUCKETS, 0)))
+    chosen = rows.where(F.col("h") <= cut).dropDuplicates(["h", "l"])
+
+    def count(batches):
+        for batch in batches:
+            data, off = K.column_bytes(batch.column(1))
+            langs = np.array(batch.column(0).to_pylist(), object)
+            for lo, hi in K.slices(off):
+                bucket, row = _trigrams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                for lang in set(langs[lo:hi]):
+                    n = np.bincount(bucket[langs[lo:hi][row] == lang], minlength=BUCKETS)
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["l", "bucket", "n"])
+        K.trim()
+
+    seen = chosen.select("l", "t").mapInArrow(count, "l string, bucket bigint, n bigint").groupBy("l", "bucket").agg(F.sum("n").alias("n")).collect()
+    langs = sorted({r.l for r in seen})
+    at, counts = {x: k for k, x in enumerate(langs)}, np.zeros((BUCKETS, len(langs)))
+    for r in seen:
+        counts[r.bucket, at[r.l]] = r.n
+    return Model(langs, counts, cut)
 
 
 def html_text(html: Column) -> Column:
@@ -143,57 +167,57 @@ def detect(docs: DataFrame, model: Model, *, text: Column, declared: Column | No
     host = none if host is None else host
     domain = F.coalesce(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit(""))
     domain = F.when(domain == "", host).otherwise(domain)
-    base = docs.select(*docs.columns, F.coalesce(text, F.lit("")).alias("_t"), (none if declared is None else F.lower(declared)).alias("_d"), (none if address is None else address).alias("_a"), F.coalesce(host, F.lit("")).alias("_h"), F.coalesce(domain, F.lit("")).alias("_m"))
+    given = [F.coalesce(text, F.lit("")).alias("t"), (none if declared is None else F.lower(declared)).alias("d"), (none if address is None else address).alias("a"), F.coalesce(host, F.lit("")).alias("h"), F.coalesce(domain, F.lit("")).alias("m")]
+    width = len(docs.columns)
+    base = docs.select("*", *given).toDF(*[f"c{i}" for i in range(width)], "t", "d", "a", "h", "m")
     langs, sent = model.langs, docs.sparkSession.sparkContext.broadcast(model)
     k = len(langs)
 
-    def evidence(t, d, a):
-        data, off = K.column_bytes(t)
-        score, has = sent.value.score(data, off)
-        return score, has, _witness(d.to_pylist(), langs, DECLARED_RIGHT) + _witness(a.to_pylist(), langs, SUFFIX_RIGHT)
+    def of_text(t):
+        score, has = sent.value.score(*K.column_bytes(t))
+        return score, has, _softmax(score) * has[:, None]
 
     def soft(batches):
         for batch in batches:
-            score, has, more = evidence(batch.column(0), batch.column(1), batch.column(2))
-            p = _softmax(score + more) * has[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), *(pa.array(p[:, i]) for i in range(k))], names=["h", "m", *(f"c{i}" for i in range(k))])
+            _, _, p = of_text(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(p[:, i]) for i in range(k))], names=["h", "m", *(f"p{i}" for i in range(k))])
         K.trim()
 
-    counts = base.select("_t", "_d", "_a", "_h", "_m").mapInArrow(soft, "h string, m string, " + ", ".join(f"c{i} double" for i in range(k)))
-    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]
+    counts = base.select("t", "h", "m").mapInArrow(soft, "h string, m string, " + ", ".join(f"p{i} double" for i in range(k)))
+    sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(k)]
     hosts = saved(counts.groupBy("h", "m").agg(*sums), "hosts")
-    domains = hosts.groupBy("m").agg(*[F.sum(f"c{i}").alias(f"m{i}") for i in range(k)])
+    domains = hosts.groupBy("m").agg(*[F.sum(f"p{i}").alias(f"m{i}") for i in range(k)])
     whole = hosts.agg(*sums).first()
     flat = np.array([whole[i] or 0.0 for i in range(k)])
     flat = (flat + 1) / (flat.sum() + k)
     flat[-1] = UNKNOWN_PRIOR
-    both = hosts.join(domains, "m")
-    n_m, n_h = sum((F.col(f"m{i}") for i in range(k)), F.lit(0.0)), sum((F.col(f"c{i}") for i in range(k)), F.lit(0.0))
+    n_m = sum((F.col(f"m{i}") for i in range(k)), F.lit(0.0))
     of_domain = [(F.col(f"m{i}") + SMOOTH * float(flat[i])) / (n_m + SMOOTH) for i in range(k)]
-    prior = F.array(*[F.log((F.col(f"c{i}") + SMOOTH * of_domain[i]) / (n_h + SMOOTH)) for i in range(k)])
-    prior = saved(both.select(F.col("h").alias("_h"), prior.alias("_p")), "host-priors")
-    joined = base.drop("_m").join(prior, "_h", "left").select(*docs.columns, "_t", "_d", "_a", "_p")
-    width = len(docs.columns)
+    prior = hosts.join(domains, "m").select("h", F.array(*[F.col(f"p{i}") for i in range(k)]).alias("seen"), F.array(*[x * SMOOTH for x in of_domain]).alias("smooth"))
+    joined = base.drop("m").join(saved(prior, "host-priors"), "h", "left").select(*base.columns[: width + 3], "seen", "smooth")
 
     def fuse(batches):
         for batch in batches:
-            score, has, more = evidence(*batch.columns[width : width + 3])
-            p = np.array([x or np.log(flat).tolist() for x in batch.column(width + 3).to_pylist()]).reshape(len(batch), k)
-            post = _softmax(score + more + p)
+            score, has, own = of_text(batch.column(width))
+            more = _witness(batch.column(width + 1).to_pylist(), langs, DECLARED_RIGHT) + _witness(batch.column(width + 2).to_pylist(), langs, SUFFIX_RIGHT)
+            seen, smooth = (np.array(batch.column(width + i).to_pylist(), np.float64).reshape(len(batch), k) for i in (3, 4))
+            p = np.maximum(seen - own, 0.0) + smooth
+            post = _softmax(score + more + np.log(p / p.sum(axis=1, keepdims=True)))
             best = post.argmax(axis=1)
             best[~has] = k - 1
             top = np.where(has, post[np.arange(len(post)), best], 1.0)
-            cols = [pa.array([langs[i] for i in best]), pa.array(top), pa.array((best < k - 1) & (top >= MIN_POSTERIOR)), pa.array([langs[i] if h else "und" for i, h in zip(score.argmax(axis=1), has, strict=True)])]
+            cols = [pa.array([langs[i] for i in best], pa.string()), pa.array(top), pa.array((best < k - 1) & (top >= MIN_POSTERIOR)), pa.array([langs[i] if h else "und" for i, h in zip(score.argmax(axis=1), has, strict=True)], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], names=[*batch.schema.names[:width], *new])
         K.trim()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(fuse, f"{fields}, language string, posterior double, accepted boolean, text_language string")
+    fields = with_fields(base.select(*base.columns[:width]), "language string, posterior double, accepted boolean, text_language string")
+    return joined.mapInArrow(fuse, fields).toDF(*docs.columns, *new)
 
 
 def detect_documents(docs: DataFrame) -> DataFrame:
-    """``documents``: the lang column is the declaration, the source stands for the host."""
-    return detect(docs, fit(docs), text=F.col("text"), declared=F.col("lang"), host=F.col("source"))
+    """``documents``: the lang column trains the text model or, in rows that do not, is the declaration; the source stands for the host."""
+    model = fit(docs)
+    return detect(docs, model, text=F.col("text"), declared=F.when(label_hash("text", "lang") > model.cut, F.col("lang")), host=F.col("source"))
 
 
 def detect_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
