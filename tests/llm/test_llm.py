@@ -309,6 +309,42 @@ def test_passages_of_frequent_lines(spark):
     assert got == {p for a, b in pairs for p in ((a, b), (b, a))}
 
 
+
+def test_passages_of_frequent_seeds_only(spark):
+    """Forty texts with a passage of which every third is in 300 others: its seeds, and all runs of them, are frequent, and their first and last texts have a third only."""
+    random.seed(11)
+    new = lambda k: [f"x{random.randint(0, 10**6)}" for _ in range(k)]
+    passage = new(66)
+    rows = [new(30) + passage + new(30) for _ in range(40)]
+    rows += [new(30) + passage[k : k + 26] + new(30) for k in (0, 20, 40) for _ in range(300)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = chaining.repeated_passages(frame(spark, rows)).collect()
+    whole = [r for r in got if r.start_word <= 30 and r.end_word >= 96]
+    assert {r.doc_id for r in got} == set(range(40))
+    assert sum(r.kept for r in whole) == 39 and sum(not r.kept for r in whole) == 39
+
+
+def test_one_frequent_word_over_and_over(spark):
+    random.seed(12)
+    new = lambda k: [f"x{random.randint(0, 10**6)}" for _ in range(k)]
+    sizes = [20, 30, 60, 61, 75, 400] * 15
+    rows = [new(40) + (["long", "again"] * n if i % 2 else ["long"] * n)[:n] + new(40) for i, n in enumerate(sizes)]
+    covered = [np.zeros(len(w), bool) for w in rows]
+    for r in chaining.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).collect():
+        covered[r.doc_id][r.start_word : r.end_word] = True
+    for n, c in zip(sizes, covered, strict=True):
+        assert c[42 : 38 + n].all() if n >= 60 else not c.any(), n
+
+
+def test_stretches_of_a_seed():
+    for p, q, u, v, step in [(3, 300, 7, 80, 1), (3, 3 + 298, 7, 7 + 298, 2), (10, 60, 100, 900, 2), (5, 6, 5, 6, 1)]:
+        x, y = chaining._stretches(p, q, u, v, step)
+        assert len(x) == len(y) and ((x - p) % step == 0).all() and ((y - u) % step == 0).all()
+        assert (x.min(), x.max(), y.min(), y.max()) == (p, q, u, v)
+        for z in (x, y):  # one place follows another closely enough to be one run
+            assert np.diff(np.unique(z)).max(initial=0) <= 2 * chaining.SPARSE
+
+
 # -- 6
 
 
