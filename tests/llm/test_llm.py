@@ -324,6 +324,16 @@ def test_passages_of_frequent_seeds_only(spark):
     assert sum(r.kept for r in whole) == 39 and sum(not r.kept for r in whole) == 39
 
 
+def test_pipeline_cuts_passages_of_frequent_seeds_only(spark):
+    import corpus_pipeline as p
+
+    random.seed(13)
+    new = lambda k: [f"x{random.randint(0, 10**6)}" for _ in range(k)]
+    rows = [new(40) + ["again"] * 80 + new(40) for _ in range(40)]
+    out = p.cut_repeated_passages(spark, frame(spark, [(i, " ".join(w)) for i, w in enumerate(rows)]), DATA)
+    assert sorted(r.text.count("again") > 40 for r in out.collect()) == [False] * 39 + [True]
+
+
 def test_one_frequent_word_over_and_over(spark):
     random.seed(12)
     new = lambda k: [f"x{random.randint(0, 10**6)}" for _ in range(k)]
