@@ -413,22 +413,30 @@ def chunks(batch: pa.RecordBatch, at: int, limit: int = 4 << 20):
         yield batch.slice(lo, hi - lo)
 
 
-def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text as an array; ``path`` must exist on every executor."""
+def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None, ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text as an array; ``path`` must exist on every executor.
+
+    With ``decoded_col`` also with the text decoded from them, by the same worker, so that no second one holds a codec and the rows.
+    """
     path = path or default_path()
-    docs = docs.drop(*([ids_col] if ids_col != text_col else []))
+    docs = docs.drop(*[c for c in (ids_col, decoded_col) if c and c != text_col])
     at, plain = docs.columns.index(text_col), numbered(docs)
+    new = ["ids", "decoded"] if decoded_col else ["ids"]
 
     def run(batches):
         c = codec(path)
         for whole in batches:
             for batch in chunks(whole, at):
                 ids, n = c.encode(batch.column(at).to_pylist())
-                arr = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, arr], names=[*batch.schema.names, "ids"])
+                cut = np.concatenate(([0], np.cumsum(n)))
+                cols = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int32)))]
+                if decoded_col:
+                    cols.append(pa.array([c.decode(ids[lo:hi].tobytes()) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *new])
         K.trim()
 
-    return plain.mapInArrow(run, with_fields(plain, "ids array<int>")).toDF(*docs.columns, ids_col)
+    schema = with_fields(plain, "ids array<int>" + (", decoded string" if decoded_col else ""))
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, ids_col, *([decoded_col] if decoded_col else []))
 
 
 def decode(docs: DataFrame, *, ids_col: str = "ids", path: str | None = None, text_col: str = "decoded") -> DataFrame:

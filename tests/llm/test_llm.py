@@ -761,6 +761,16 @@ def test_token_files_by_other_ids(spark):
     assert pfor.read(pfor.write(days, scratch(spark, "t"))).select(F.max("doc_id").cast("string")).first()[0] == "2024-01-02"
 
 
+def test_pipeline_encodes_and_decodes_in_one_worker(spark):
+    import corpus_pipeline as p
+
+    docs = frame(spark, [(1, "en", "s", "one two Three"), (2, None, "s", None), (3, "x", "s", "")], "doc_id long, lang string, source string, text string")
+    plan = p.tokenize(spark, docs, DATA)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert {r.doc_id: (list(r.ids), r.decoded_sha256) for r in plan.collect()} == {i: (ids, hashlib.sha256(d.encode()).hexdigest()) for i, (ids, d) in want.items()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
     from quarry.llm.shared import saved, table
