@@ -334,6 +334,27 @@ def test_pipeline_cuts_passages_of_frequent_seeds_only(spark):
     assert sorted(r.text.count("again") > 40 for r in out.collect()) == [False] * 39 + [True]
 
 
+def test_pipeline_cuts_passages_beyond_those_of_frequent_seeds(spark):
+    """Two of a hundred texts with one passage have six words more in common on either side, in which there is no seed."""
+    import corpus_pipeline as p
+
+    random.seed(65)  # all seeds that these two have in common, and runs of them, are in all texts
+    new = lambda k: [f"x{random.randint(0, 10**6)}" for _ in range(k)]
+    passage = new(60)
+    rows = [" ".join(new(100) + passage + new(100)) for _ in range(100)]
+    before, after, two = new(6), new(6), (40, 60)
+    for i in two:
+        w = rows[i].split()
+        w[94:100], w[160:166] = before, after
+        rows[i] = " ".join(w)
+    order = sorted(range(100), key=lambda i: int.from_bytes(hashlib.sha256(rows[i].encode()).digest()[:8], "big", signed=True))
+    first, second = sorted(two, key=order.index)
+    assert 9 < order.index(first) < order.index(second) < 90  # neither is a hub
+    out = {r.doc_id: r.text.split() for r in p.cut_repeated_passages(spark, frame(spark, list(enumerate(rows))), DATA).collect()}
+    assert len(out[second]) == 260 - 72 and not {*before, *after} & {*out[second]}
+    assert {*before, *after} < {*out[first]}
+
+
 def test_one_frequent_word_over_and_over(spark):
     random.seed(12)
     new = lambda k: [f"x{random.randint(0, 10**6)}" for _ in range(k)]
