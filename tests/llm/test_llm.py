@@ -782,6 +782,15 @@ def test_token_files_by_other_ids(spark):
     assert pfor.read(pfor.write(days, scratch(spark, "t"))).select(F.max("doc_id").cast("string")).first()[0] == "2024-01-02"
 
 
+def test_pipeline_gives_memory_back_before_a_stage(monkeypatch):
+    import corpus_pipeline as p
+
+    seen = []
+    monkeypatch.setattr(p, "settle", lambda spark: seen.append(spark))
+    monkeypatch.setattr(p.minhash, "deduplicate", lambda docs: (docs, list(seen)))
+    assert p.drop_near_duplicates("session", "docs", DATA) == ("docs", ["session"])
+
+
 def test_pipeline_encodes_and_decodes_in_one_worker(spark):
     import corpus_pipeline as p
 
