@@ -324,6 +324,46 @@ def test_passages_of_frequent_seeds_only(spark):
     assert sum(r.kept for r in whole) == 39 and sum(not r.kept for r in whole) == 39
 
 
+def test_stretches_beside_each_other_in_any_place(spark):
+    # 45 words "w" in both; the second text has more of them, so nearer matches on other diagonals make chains that are no passage
+    words = lambda k, n: [f"x{k}y{i}" for i in range(n)]
+    rows = [[*words(k, 20), *["w"] * (45 + k % 4), *words(k + 100, 20)] for k in range(40)]
+    spans = {}
+    for r in chaining.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).collect():
+        spans.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert all(spans.get(i, set()) >= set(range(20, 65 + i % 4)) for i in range(40) if i % 4 < 3)
+
+
+def test_chains_keep_straight_runs(spark):
+    # matches of a stretch of 45 words beside one of 48, as the cells give them: those of the passage are 30 words apart, others nearer
+    rows = [(1, 2, x, y) for x, y in ((379, 396), (286, 345), (316, 384), (310, 369), (316, 375), (286, 354), (310, 378))]
+    # without a match further on, the two at the nearest distances are on two diagonals
+    got = chaining.chains(spark.createDataFrame(rows[1:], "a bigint, b bigint, pa int, pb int")).collect()
+    assert len(got) == 1
+    runs = {(r.a, r.b, r.n) for own in got[0].many for r in own}
+    assert any(b - a == 68 and n >= 23 for a, b, n in runs)
+
+
+def test_bound_of_matched_words_loses_no_passage(spark):
+    # short stretches of frequent words side by side: texts with two of them in the same order share 46 words, others never reach a passage
+    rng = np.random.default_rng(11)
+    vocab, rows = [f"v{i}" for i in range(6)], []
+    for k in range(60):
+        x = rng.permutation(6)[:4]
+        rows.append([*[f"s{k}t{i}" for i in range(8)], *[w for v in x for w in [vocab[v]] * 23], *[f"e{k}t{i}" for i in range(8)]])
+    spans = {}
+    for r in chaining.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).collect():
+        spans.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    at = {}
+    for k, w in enumerate(rows):
+        for i in range(8, len(w) - 8 - 45):
+            at.setdefault(tuple(w[i : i + 46]), set()).add((k, i))
+    for places in at.values():
+        if len({k for k, _ in places}) > 1:
+            for k, i in places:
+                assert spans.get(k, set()) >= set(range(i, i + 46))
+
+
 def test_pipeline_cuts_passages_of_frequent_seeds_only(spark):
     import corpus_pipeline as p
 
