@@ -142,14 +142,16 @@ def parse_probe(probe: str) -> Query:
     return Query(pattern=probe.lower())
 
 
-def multi_probe(docs: DataFrame, probes: list[str], *, cap: int = PROBE_CAP) -> DataFrame:
-    """(probe_idx, probe, repo, path, score, matched_lines, matches): the best ``cap`` documents of each probe."""
+def multi_probe(docs: DataFrame, probes: list[str], *, cap: int | None = PROBE_CAP) -> DataFrame:
+    """(probe_idx, probe, repo, path, score, matched_lines, matches): the best ``cap`` documents of each probe, or all."""
     if not 1 <= len(probes) <= 5:
         raise ValueError("1 to 5 probes are allowed")
     queries = [parse_probe(p) for p in probes]
     found = _scores(matched(docs, queries), queries)  # one scan for all probes
-    w = Window.partitionBy("probe_idx").orderBy(F.desc("score"), "path", "repo")  # each task keeps its own best before the shuffle
     rows = found.select(F.col("query").alias("probe_idx"), F.element_at(F.array(*map(F.lit, probes)), F.col("query") + 1).alias("probe"), "repo", "path", "score", "matched_lines", "matches")
+    if cap is None:
+        return rows
+    w = Window.partitionBy("probe_idx").orderBy(F.desc("score"), "path", "repo")  # each task keeps its own best before the shuffle
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
 
 

@@ -129,7 +129,7 @@ class Tools:
 
     def search_code(self, probes: list[str], limit: int | None = None, cursor: str | None = None) -> dict:
         n, at = globals()["limit"]("code", limit), globals()["cursor"](cursor)
-        return self._page(search.roll_up(search.multi_probe(self.docs, probes)), [F.desc("breadth"), F.desc("files"), "repo"], at, n)
+        return self._page(search.roll_up(search.multi_probe(self.docs, probes, cap=None)), [F.desc("breadth"), F.desc("files"), "repo"], at, n)
 
     def list_repos(self, names: str = "", limit: int | None = None, cursor: str | None = None) -> dict:
         n, at = globals()["limit"]("repos", limit), globals()["cursor"](cursor)

@@ -184,6 +184,13 @@ def test_tools(spark):
         assert t.call(name, args)["error"]["kind"] == kind
 
 
+def test_totals_of_a_code_search_have_no_cap(spark):
+    many = spark.range(search.PROBE_CAP + 1).select(F.lit("org/a").alias("repo"), F.concat(F.lit("src/needle"), F.col("id").cast("string")).alias("path"), F.lit("needle").alias("content"))
+    low = spark.createDataFrame([("org/b", "tests/x.py", "my needles")], "repo string, path string, content string")
+    got = Tools(many.union(low)).call("search_code", {"probes": ["needle"], "limit": 1})
+    assert (got["total"], got["has_more"], got["results"][0]["files"]) == (2, True, search.PROBE_CAP + 1)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / ".git").mkdir()
