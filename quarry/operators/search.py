@@ -311,8 +311,15 @@ def entropies(docs: DataFrame) -> DataFrame:
 
 
 def gate(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``reason``: why the corpus gate rejects a document (size, NUL bytes, entropy), or null."""
-    return docs.withColumn("reason", S.rejection(F.col("content"), entropy("content")))
+    """``docs`` with ``reason``: why the corpus gate rejects a document (size, NUL bytes, entropy), or null.
+
+    Only contents that pass the other tests go to Python. The row that Spark keeps meanwhile has what is selected of the result:
+    the list of one, whose row is made before, keeps a content out of it that is not.
+    """
+    plain = S.rejection(F.col("content"), F.lit(0.0))
+    once = F.array(F.struct(plain.alias("_reason"), F.when(plain.isNull(), F.col("content")).alias("_left")))
+    rows = docs.select("*", F.inline(once)).withColumn("reason", F.when(F.col("_reason").isNotNull(), F.col("_reason")).when(entropy("_left") > S.MAX_ENTROPY, "high_entropy"))
+    return rows.select(*docs.columns, "reason")
 
 
 def planned_candidates(postings: DataFrame, wanted: list[list[int]]) -> DataFrame:

@@ -36,9 +36,10 @@ _GATE = """g AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN repeat('
 def _(spark, d):
     """Of each four rows: a text that may be too large, one with a NUL byte, a plain one, and bytes in which all but NUL are equally frequent."""
     k, n = F.col("p_partkey"), F.col("p_partkey") % 4
-    even = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(255)), lambda i: F.lpad(F.hex(i), 2, "0")), ""))
+    even = F.lit(bytes(range(1, 256)))
     text = F.when(n == 0, F.repeat(F.lit("x"), F.when(F.col("p_size") > 25, 1048577).otherwise(9))).when(n == 1, F.concat("p_name", F.lit("\0"))).otherwise(F.col("p_name"))
-    rows = table(spark, d, "part").select(k.alias("id"), F.when(n == 3, even).otherwise(text.cast("binary")).alias("content"))
+    keys = table(spark, d, "part").select("p_partkey", "p_name", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # a small file that becomes a thousand times as large
+    rows = keys.select(k.alias("id"), F.when(n == 3, even).otherwise(text.cast("binary")).alias("content"))
     return search.gate(rows).select("id", "reason")
 
 

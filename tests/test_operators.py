@@ -191,6 +191,17 @@ def test_totals_of_a_code_search_have_no_cap(spark):
     assert (got["total"], got["has_more"], got["results"][0]["files"]) == (2, True, search.PROBE_CAP + 1)
 
 
+def test_rejected_contents_do_not_go_to_python(spark):
+    texts = [None, b"", b"plain", b"a\0b", bytes(range(1, 256)), b"x" * 1_048_577, b"x" * 1_048_576]
+    rows = search.gate(spark.createDataFrame(list(enumerate(texts)), "id long, content binary")).select("id", "reason")
+    assert [r.reason for r in rows.orderBy("id").collect()] == [None, None, None, "binary_nul", "high_entropy", "too_large", None]
+    node = rows._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "ArrowEvalPython":
+        node = node.children().apply(0)
+    kept = node.children().apply(0).output()
+    assert {kept.apply(i).name() for i in range(kept.size())} == {"id", "_reason", "_left"}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / ".git").mkdir()
