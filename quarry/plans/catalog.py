@@ -258,8 +258,7 @@ TIERS = f"""{DOCS}, t AS (SELECT doc_id AS seq, sha256(content) AS hash, {TOKENS
 
 @_query("dd_tokens", f"WITH {DOCS} SELECT doc_id, CAST(len({TOKENS}) AS INT) AS n, sha256(coalesce(list_aggregate(list_transform({TOKENS}, lambda t: t || chr(31)), 'string_agg', ''), '')) AS hash FROM docs")
 def _(spark, d):
-    t = dedup.tokens(F.col("content"))
-    return _docs(spark, d).select("doc_id", F.size(t).alias("n"), dedup.token_hash(t).alias("hash"))
+    return dedup.token_rows(_docs(spark, d)).withColumnRenamed("seq", "doc_id")
 
 
 _NEAR = f"""{TIERS}, w AS (SELECT DISTINCT seq, s FROM (SELECT seq, unnest(list_transform(range(1, greatest(len(toks) - 4, 1) + 1), lambda i: array_to_string(toks[i:i + 4], ' '))) AS s FROM u WHERE len(toks) >= 50)

@@ -204,11 +204,8 @@ def _(spark, d):
 @query("dd_estimate", "SELECT doc_id, TRUE AS near, TRUE AS same FROM documents WHERE len(list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda t: t <> '')) >= 60")
 def _(spark, d):
     """Each text against itself without its last tokens: the estimate is near the exact similarity, and 1 for equal texts."""
-    toks = dedup.tokens(F.col("content"))
-    rows = _docs(spark, d).where(F.size(toks) >= 60).select("doc_id", dedup.shingles(toks).alias("a"), dedup.shingles(F.slice(toks, 1, F.size(toks) - 15)).alias("b"))
-    rows = rows.withColumns({"sa": dedup.signature("a"), "sb": dedup.signature("b")})
-    gap = F.abs(dedup.estimated_jaccard(F.col("sa"), F.col("sb")) - dedup.jaccard(F.col("a"), F.col("b")))
-    return rows.select("doc_id", (gap < 0.3).alias("near"), (dedup.estimated_jaccard(F.col("sa"), F.col("sa")) == 1.0).alias("same"))
+    rows = dedup.prefix_estimates(_docs(spark, d), cut=15, least=60)
+    return rows.select(F.col("seq").alias("doc_id"), (F.abs(F.col("estimate") - F.col("exact")) < 0.3).alias("near"), (F.col("same") == 1.0).alias("same"))
 
 
 # -- licenses -------------------------------------------------------------------------------------

@@ -101,6 +101,22 @@ def test_shingles_are_made_of_near_candidates_only(spark, monkeypatch):
     assert "sh" not in dedup.features(docs).columns
 
 
+def test_token_rows_and_estimates(spark):
+    import hashlib
+
+    texts = ["A\u212ab, c-D\x1fe ", "", " ,.\u00e9 ", None, "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    rows, made = dedup.token_rows(docs).orderBy("seq").collect(), dedup.features(docs).orderBy("seq").collect()
+    assert [(r.n, r.hash) for r in rows] == [(n, hashlib.sha256(t.encode()).hexdigest()) for n, t in ((5, "a\x1fb\x1fc\x1fd\x1fe\x1f"), (0, ""), (0, ""), (None, ""), (1, "x\x1f"))]
+    assert [r.hash for r in rows] == [r.thash for r in made]
+    random.seed(6)
+    docs = [" ".join(f"w{random.randint(0, 300)}" for _ in range(n)) for n in (59, 60, 400, 3000)]
+    got = dedup.prefix_estimates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, content string"), cut=15, least=60).orderBy("seq").collect()
+    sets = [({tuple(t[k : k + 5]) for k in range(len(t) - 4)}, {tuple(t[k : k + 5]) for k in range(len(t) - 19)}) for t in (d.split() for d in docs[1:])]
+    assert [(r.seq, r.exact, r.same) for r in got] == [(i + 1, pytest.approx(len(a & b) / len(a | b)), 1.0) for i, (a, b) in enumerate(sets)]
+    assert all(abs(r.estimate - r.exact) < 0.2 for r in got)
+
+
 def test_license_match(spark):
     text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in it without restriction."
     known = spark.createDataFrame([(0, "MIT", "Copyright <<owner>>\n" + text), (1, "ISC", "Permission to use, copy, modify and distribute this software for any purpose with or without fee is hereby granted.")], "idx int, spdx string, text string")
