@@ -10,6 +10,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -332,38 +333,158 @@ def planned_candidates(postings: DataFrame, wanted: list[list[int]]) -> DataFram
 
 # -- the stored index ----------------------------------------------------------------------------
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
+#: Bytes of text whose postings are packed together.
+PACKED_BYTES = 4 << 20
+_PACKED = ["gram", "doc_id", "docs", "sizes", "offsets"]
+
+
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in bytes of seven bits, the lowest first, the top bit where more follow; and the size of each."""
+    v, size = values.astype(np.uint64), np.ones(len(values), np.int64)
+    for k in range(7, 64, 7):
+        more = v >> np.uint64(k) > 0
+        if not more.any():
+            break
+        size += more
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
+        out[at[own] + k] = (v[own] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | np.where(size[own] > k + 1, 128, 0).astype(np.uint8)
+    return out, size
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    """The numbers of ``_varints``."""
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    end = np.flatnonzero(raw < 128)
+    start = np.append(0, end[:-1] + 1)
+    place = (np.arange(len(raw)) - np.repeat(start, end - start + 1)).astype(np.uint64)
+    return np.add.reduceat((raw & 127).astype(np.uint64) << np.uint64(7) * place, start)
+
+
+def _pack(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """The postings of some documents, packed: a row per gram, or per gram and document where ids are no integers."""
+    numbers = pa.types.is_integer(ids.type)
+    if numbers:
+        order = pa.array(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"))
+        ids, texts = ids.take(order), texts.take(order)
+    size = pa.compute.binary_length(texts.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    raw = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8).astype(np.uint64)
+    key = (raw[:-2] << np.uint64(16) | raw[1:-1] << np.uint64(8) | raw[2:]) << np.uint64(32) | np.arange(len(raw) - 2, dtype=np.uint64)
+    across = np.concatenate([start[1:] - 2, start[1:] - 1])
+    key = np.delete(key, across[across < len(key)])  # grams of two documents
+    key.sort()
+    gram, at = (key >> np.uint64(32)).astype(np.int32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    doc = np.searchsorted(start, at, side="right") - 1
+    at -= start[doc]
+    new = np.append(True, gram[1:] != gram[:-1])
+    own = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1]))  # the first of each gram and document
+    row = np.flatnonzero(new[own]) if numbers else np.arange(len(own))  # those with which a row begins
+    step = np.diff(at, prepend=0)
+    step[own] = at[own]
+
+    def binary(values, first):
+        data, length = _varints(values)
+        edge = np.append(0, np.cumsum(length))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edge[np.append(first, len(values))].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+    first = ids.take(pa.array(doc[own[row]]))
+    if numbers:
+        value = ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[doc[own]]
+        gap = np.delete(np.diff(value, prepend=value[:1]), row)  # of each document of a row but the first
+        docs = binary(gap, row - np.arange(len(row)))
+    else:
+        docs = pa.array([b""] * len(row), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(gram[own[row]]), first, docs, binary(np.diff(np.append(own, len(at))), row), binary(step, own[row])], names=_PACKED)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``trigrams`` in few and small rows, each of one gram in the documents of about PACKED_BYTES of text.
+
+    doc_id is the first document; docs has the distances of the ids after it, sizes the number of offsets of each document, offsets
+    the distances between these, all as ``_varints``.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ends = np.cumsum(pa.compute.binary_length(batch.column(1).cast(pa.binary())).to_numpy(zero_copy_only=False))
+            part = ends // PACKED_BYTES
+            edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if hi > lo:
+                    yield _pack(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
+
+    ok = docs.where(S.admitted(F.col("content")) & (F.octet_length("content") >= 3))
+    return ok.select("doc_id", "content").mapInArrow(run, f"gram int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, docs binary, sizes binary, offsets binary")
+
+
+def unpacked(rows: DataFrame, *, offsets: bool = True) -> DataFrame:
+    """(gram, doc_id, offsets) of ``packed`` rows, or without the offsets."""
+
+    def run(batches):
+        for batch in batches:
+            gram, first, docs, sizes, steps = batch.columns
+            gaps = [_numbers(x) for x in docs.to_pylist()]
+            many = np.array([len(g) + 1 for g in gaps], np.int64)
+            which = np.repeat(np.arange(batch.num_rows), many)
+            ids = first.take(pa.array(which))
+            if pa.types.is_integer(first.type) and len(which):
+                base = first.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                ids = pa.array(np.concatenate([b + np.append(np.uint64(0), np.cumsum(g, dtype=np.uint64)) for b, g in zip(base, gaps, strict=True)]).view(np.int64)).cast(first.type)
+            cols = [gram.take(pa.array(which)), ids]
+            if offsets:
+                size = np.concatenate([np.zeros(0, np.uint64), *[_numbers(x) for x in sizes.to_pylist()]]).astype(np.int64)
+                step = np.concatenate([np.zeros(0, np.uint64), *[_numbers(x) for x in steps.to_pylist()]]).astype(np.int64)
+                end = np.cumsum(size)
+                total = np.cumsum(step)
+                before = np.append(0, total)[end - size]
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, end), pa.int32()), pa.array(total - np.repeat(before, size), pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names=["gram", "doc_id", "offsets"][: len(cols)])
+
+    return rows.select(*_PACKED).mapInArrow(run, f"gram int, doc_id {rows.schema['doc_id'].dataType.simpleString()}" + ", offsets array<int>" * offsets)
 
 
 def save_index(docs: DataFrame, path: str) -> None:
     """Stores documents (doc_id, repo, path, content) and their postings below ``path``, with a manifest of the format's version.
 
-    Postings are ordered by gram over all files, so that a search reads the few row groups whose range holds its grams.
+    Postings are packed and ordered by gram over all files, so that a search reads the few row groups whose range holds its grams.
     """
     ok = docs.where(S.admitted(F.col("content"))).select("doc_id", "repo", "path", S.detect_lang(F.col("path")).alias("lang"), "content")
     ok.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/docs")
     stored = docs.sparkSession.read.parquet(f"{path}/docs")
-    trigrams(stored).repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    packed(stored).repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
     docs.sparkSession.createDataFrame([(INDEX_VERSION,)], "version int").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 class Index:
-    """A stored index, opened: its documents and postings."""
+    """A stored index, opened: its documents and packed postings."""
 
     def __init__(self, spark: SparkSession, path: str):
         version = [r.version for r in spark.read.schema("version int").json(f"{path}/manifest").collect()]
         if version != [INDEX_VERSION]:
             raise ValueError(f"{path}: index version {version}, {INDEX_VERSION} is supported")
-        self.docs, self.postings = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
+        self.docs, self.packed = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
 
     def repos(self) -> DataFrame:
         """Repositories with the number of documents and their first and last path."""
         return self.docs.groupBy("repo").agg(F.count("*").alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
+    def postings(self, grams: list[int], *, offsets: bool = True) -> DataFrame:
+        """(gram, doc_id, offsets) of some grams; others are not read."""
+        return unpacked(self.packed.where(F.col("gram").isin(grams)), offsets=offsets)
+
     def candidates(self, q: Query) -> DataFrame:
         """The documents whose postings allow a match; all of them where the pattern requires no trigram."""
         wanted = gram_plan(q.validate())
-        return self.docs.join(planned_candidates(self.postings, wanted), "doc_id", "left_semi") if wanted else self.docs
+        if not wanted:
+            return self.docs
+        found = self.postings(sorted({g for grams in wanted for g in grams}), offsets=False)
+        return self.docs.join(planned_candidates(found, wanted), "doc_id", "left_semi")
 
     def search(self, q: Query) -> DataFrame:
         """``scored`` over the candidates only."""

@@ -165,6 +165,23 @@ def test_planned_search_equals_a_scan(spark, tmp_path):
         search.Index(spark, str(tmp_path / "index"))
 
 
+def test_packed_postings_equal_plain_ones(spark, tmp_path, monkeypatch):
+    random.seed(7)
+    monkeypatch.setattr(search, "PACKED_BYTES", 1000)
+    texts = ["".join(random.choice("ab é") for _ in range(random.choice([0, 2, 3, 4, 40, 900]))) for _ in range(40)]
+    ids = [random.getrandbits(64) - 2**63 for _ in range(40)]
+    for kind, own in (("long", ids), ("string", list(map(str, ids))), ("int", list(range(40)))):
+        docs = spark.createDataFrame([(i, "r", f"f{i}.rs", t) for i, t in zip(own, texts, strict=True)], f"doc_id {kind}, repo string, path string, content string").repartition(3)
+        want = {(r.gram, r.doc_id, tuple(r.offsets)) for r in search.trigrams(docs).collect()}
+        rows = search.packed(docs)
+        assert sorted((r.gram, r.doc_id, tuple(r.offsets)) for r in search.unpacked(rows).collect()) == sorted(want)
+        assert kind == "string" or rows.count() < len(want)
+    search.save_index(docs, str(tmp_path / "index"))
+    grams = sorted({g for g, _, _ in want})[:5]
+    got = search.Index(spark, str(tmp_path / "index")).postings(grams)
+    assert {(r.gram, r.doc_id, tuple(r.offsets)) for r in got.collect()} == {w for w in want if w[0] in grams}
+
+
 def test_best_of_a_large_group_of_near_copies(spark):
     random.seed(3)
     base = [f"w{random.randint(0, 999999)}" for _ in range(400)]
