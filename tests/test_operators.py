@@ -30,6 +30,13 @@ def test_pagerank_closed_forms(spark):
     assert seeded[2] == seeded[3] == 0 and math.isclose(seeded[0] + seeded[1], 1.0)
 
 
+def test_edges_are_dealt_out_once(spark):
+    edges = graph.clean_edges(spark.createDataFrame([(0, 1), (0, 1), (1, 1), (0, 2), (2, 0)], "src long, dst long"))
+    counts = edges.groupBy("src").count()
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, counts.collect())) == [(0, 2), (2, 1)]
+
+
 def test_fusion(spark):
     frame = lambda xs: spark.createDataFrame([(x, float(-i)) for i, x in enumerate(xs)], "id string, score double")
     got = {r.id: r.score for r in retrieval.rrf(frame("abc"), frame("bda")).collect()}
