@@ -26,13 +26,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / F.nullif(n, F.lit(0.0)))
 
 
-def cosine_top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
-    """(id, score) of the k nearest by cosine, filtered before scoring; ties by id."""
+def cosine_top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, *also) of the k nearest by cosine, filtered before scoring; ties by id."""
     if k < 1 or not query:
-        return vectors.select("id", F.lit(0.0).alias("score")).limit(0)
+        return vectors.select("id", F.lit(0.0).alias("score"), *also).limit(0)
     rows = vectors if where is None else vectors.where(where)
     target = F.array(*[F.lit(float(x)) for x in query])
-    return rows.select("id", cosine(F.col("embedding"), target).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return rows.select("id", cosine(F.col("embedding"), target).alias("score"), *also).orderBy(F.desc("score"), "id").limit(k)
 
 
 def path_under(col: Column, prefix: str) -> Column:

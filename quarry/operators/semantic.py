@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from quarry.functions import scalars as S
 from quarry.operators import dedup, retrieval, search
 from quarry.plans.language import Query
+from quarry.sources import tables
 
 DIM, DEPTH = 256, 30
 _OFFSET, _PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -133,14 +134,14 @@ def chunks(docs: DataFrame) -> DataFrame:
     def parse(sources: pd.Series, langs: pd.Series) -> pd.Series:
         return pd.Series([items_of(t, lang) if t else None for t, lang in zip(sources, langs, strict=True)], dtype=object)
 
+    tables.bound_batches(docs.sparkSession)
     lang = S.detect_lang(F.col("path"))
-    items = docs.select("repo", "path", "content", F.when(lang.isin("python", *_ITEMS), parse("content", lang)).alias("items"))
-    whole = items.where("items IS NOT NULL").select("repo", "path", S.lines_of(F.col("content")).alias("all"), F.explode("items").alias("x"))
+    items = docs.select("repo", "path", S.lines_of(F.col("content")).alias("all"), F.when(lang.isin("python", *_ITEMS), parse("content", lang)).alias("items"))
+    window = lambda at: F.struct(F.lit("window").alias("kind"), F.lit(None).cast("string").alias("symbol"), (at + 1).cast("long").alias("start_line"), F.least(at + dedup.WINDOW, F.size("all")).cast("long").alias("end_line"))
+    each = items.where("size(all) > 0").select("repo", "path", "all", F.explode(F.coalesce("items", F.transform(dedup.window_starts(F.col("all")), window))).alias("x"))
     ident = F.concat("repo", F.lit("/"), "path", F.lit(":"), F.col("x.start_line").cast("string"), F.lit("-"), F.col("x.end_line").cast("string"))
     text = F.array_join(F.slice("all", F.col("x.start_line").cast("int"), (F.col("x.end_line") - F.col("x.start_line") + 1).cast("int")), "\n")
-    syntax = whole.select(ident.alias("id"), "repo", "path", "x.kind", "x.symbol", "x.start_line", "x.end_line", text.alias("text"))
-    rest = dedup.window_chunks(items.where("items IS NULL")).select("id", "repo", "path", F.lit("window").alias("kind"), F.lit(None).cast("string").alias("symbol"), "start_line", "end_line", "text")
-    return syntax.union(rest).withColumn("lang", S.detect_lang(F.col("path")))
+    return each.select(ident.alias("id"), "repo", "path", "x.kind", "x.symbol", "x.start_line", "x.end_line", text.alias("text"), lang.alias("lang"))
 
 
 def put_chunks(store: DataFrame | None, rows: DataFrame) -> DataFrame:
@@ -173,9 +174,8 @@ def index_source(docs: DataFrame, embedder: Callable[[Column], Column] = embed)
 def search_chunks(index: DataFrame, query: str, k: int = DEPTH, where: Column | None = None, embedder: Callable[[Column], Column] = embed) -> DataFrame:
     """The k chunks nearest to a query, with ``path:line`` locators."""
     target = list(index.sparkSession.range(1).select(embedder(F.lit(query)).alias("e")).first().e)
-    best = retrieval.cosine_top_k(index, target, k, where)
-    locator = F.concat("path", F.lit(":"), F.col("start_line").cast("string"))
-    return best.join(index.select("id", "repo", "path", "start_line", "end_line", "symbol", locator.alias("locator")), "id", "left").orderBy(F.desc("score"), "id")
+    best = retrieval.cosine_top_k(index, target, k, where, also=("repo", "path", "start_line", "end_line", "symbol"))
+    return best.withColumn("locator", F.concat("path", F.lit(":"), F.col("start_line").cast("string")))
 
 
 def hybrid_search(docs: DataFrame, index: DataFrame, query: str, anchor: str, depth: int = DEPTH) -> DataFrame:

@@ -312,6 +312,14 @@ def test_chunks_and_hybrid(spark):
     assert all(r.dense == 0 for r in semantic.hybrid_search(docs, index, "retry_backoff", "retry_backoff").collect())
 
 
+def test_a_search_chunks_each_document_once(spark):
+    docs = spark.createDataFrame([("r", "a.py", "def f():\n    return 1\n"), ("r", "b.txt", "plain words\n" * 120), ("r", "c.txt", None), ("r", "d.txt", "")], "repo string, path string, content string")
+    best = semantic.search_chunks(semantic.index_source(docs), "plain words", 9)
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2  # syntax items and embeddings
+    assert sorted((r.id, r.symbol, r.locator) for r in best.collect()) == [("r/a.py:1-2", "f", "a.py:1"), ("r/b.txt:1-60", None, "b.txt:1"), ("r/b.txt:101-120", None, "b.txt:101"), ("r/b.txt:51-110", None, "b.txt:51")]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
 def test_backends(spark):
     assert one(spark, backends.strip_delimiters(F.lit("/a.b/"))) == ("a.b", True) and one(spark, backends.strip_delimiters(F.lit("//"))) == ("//", False)
     assert one(spark, backends.blob_url(F.lit(" https://github.com/o/r/blob/main/src/x.rs/ "))) == ("o/r", "src/x.rs", "https://github.com/o/r/blob/main/src/x.rs")
