@@ -21,11 +21,20 @@ DIM, DEPTH = 256, 30
 _OFFSET, _PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-def _bucket(token: str, dim: int) -> int:
-    h = _OFFSET
-    for b in token.encode():
-        h = ((h ^ b) * _PRIME) & 0xFFFFFFFFFFFFFFFF
-    return h % dim
+#: Runs of characters that are alphanumeric as ``str.isalnum`` has it.
+_WORDS = re.compile(r"[^\W_]+")
+
+
+def _buckets(tokens: list[str], dim: int) -> np.ndarray:
+    """FNV-1a of each token's bytes, modulo ``dim``; all tokens go on by a byte at a time."""
+    raw = [t.encode() for t in tokens]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    data, at = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), np.cumsum(size) - size
+    h, own = np.full(len(raw), _OFFSET, np.uint64), np.arange(len(raw))
+    for k in range(int(size.max(initial=0))):
+        own = own[size[own] > k]
+        h[own] = (h[own] ^ data[at[own] + k]) * np.uint64(_PRIME)
+    return (h % np.uint64(dim)).astype(np.int64)
 
 
 def embed(text: Column, dim: int = DIM) -> Column:
@@ -36,19 +45,13 @@ def embed(text: Column, dim: int = DIM) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-
-        def one(t):
-            v = np.zeros(dim, np.float64)
-            for token in "".join(c if c.isalnum() else " " for c in t or "").split(" "):
-                if token:
-                    if token not in known:
-                        known[token] = _bucket(token, dim)
-                    v[known[token]] += 1
-            n = np.sqrt((v * v).sum())
-            return (v / n if n else v).astype(np.float32)
-
-        return texts.map(one)
+        number: dict[str, int] = {}
+        found = [[number.setdefault(w, len(number)) for w in _WORDS.findall(t or "")] for t in texts]
+        row = np.repeat(np.arange(len(found)), list(map(len, found))) if found else np.zeros(0, np.int64)
+        token = np.fromiter((k for ks in found for k in ks), np.int64, len(row))
+        v = np.bincount(row * dim + _buckets(list(number), dim)[token], minlength=len(found) * dim).reshape(-1, dim).astype(np.float64)
+        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return pd.Series(list((v / np.where(n > 0, n, 1.0)).astype(np.float32)), dtype=object)
 
     return run(text)
 

@@ -320,6 +320,18 @@ def test_a_search_chunks_each_document_once(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
 
 
+def test_buckets_are_fnv():
+    words = ["", "a", "foobar", "\u00e9t\u00e9", "x" * 300]
+
+    def plain(w, h=0xCBF29CE484222325):
+        for b in w.encode():
+            h = ((h ^ b) * 0x100000001B3) % 2**64
+        return h % 256
+
+    assert semantic._buckets(words, 256).tolist() == [plain(w) for w in words] and plain("foobar") == 0x85944171F73967E8 % 256
+    assert semantic._WORDS.findall("a_b \u00e9\u0661-c") == ["a", "b", "\u00e9\u0661", "c"]
+
+
 def test_backends(spark):
     assert one(spark, backends.strip_delimiters(F.lit("/a.b/"))) == ("a.b", True) and one(spark, backends.strip_delimiters(F.lit("//"))) == ("//", False)
     assert one(spark, backends.blob_url(F.lit(" https://github.com/o/r/blob/main/src/x.rs/ "))) == ("o/r", "src/x.rs", "https://github.com/o/r/blob/main/src/x.rs")
